@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.functions.text import normalise
+from ticketflow.operators.split import TEST, TRAIN, VALIDATION
 
 
 def threshold_sweep(
@@ -81,30 +82,37 @@ def text_key(text: str) -> F.Column:
     return F.md5(normalise(text))
 
 
-def split_leakage(df: DataFrame, text: str = "text", split: str = "split", train: str = "train") -> DataFrame:
+def split_leakage(
+    df: DataFrame,
+    text: str = "text",
+    split: str = "split",
+    train: str = TRAIN,
+    held_out: Sequence[str] = (VALIDATION, TEST),
+) -> DataFrame:
     """``split, n, leaked, leaked_texts`` of each held-out split: rows, and
     rows and distinct texts that also occur in train.
 
-    Copies are counted per text and split before the shuffle, so a text that
-    is a third of the table is one small record per task.
+    One shuffle, of one record per text: copies combine before it, so a text
+    that is a third of the table is one small record per task.
     """
-    copies = df.groupBy(text_key(text).alias("_t"), split).agg(F.count("*").alias("_n"))
-    held = F.filter(F.collect_list(F.struct(F.col(split).alias("split"), F.col("_n"))), lambda s: s["split"] != train)
-    per_text = copies.groupBy("_t").agg(
-        held.alias("_held"), F.max(F.when(F.col(split) == train, True).otherwise(False)).alias("_seen")
+    per_text = df.groupBy(text_key(text).alias("_t")).agg(
+        F.count_if(F.col(split) == train).alias("_train"),
+        *[F.count_if(F.col(split) == name).alias(f"_{name}") for name in held_out],
     )
-    return (
-        per_text.select("_seen", F.inline("_held"))
-        .groupBy(F.col("split").alias(split))
-        .agg(
-            F.sum("_n").alias("n"),
-            F.sum(F.when(F.col("_seen"), F.col("_n")).otherwise(0)).alias("leaked"),
-            F.count_if("_seen").alias("leaked_texts"),
+    seen = F.col("_train") > 0
+    lines = [
+        F.struct(
+            F.lit(name).alias(split),
+            F.sum(f"_{name}").alias("n"),
+            F.sum(F.when(seen, F.col(f"_{name}")).otherwise(0)).alias("leaked"),
+            F.count_if(seen & (F.col(f"_{name}") > 0)).alias("leaked_texts"),
         )
-    )
+        for name in held_out
+    ]
+    return per_text.agg(F.array(*lines).alias("_lines")).select(F.inline("_lines"))
 
 
-def leaked_rows(df: DataFrame, text: str = "text", split: str = "split", train: str = "train") -> DataFrame:
+def leaked_rows(df: DataFrame, text: str = "text", split: str = "split", train: str = TRAIN) -> DataFrame:
     """Held-out rows whose normalised text occurs in train.
 
     The train side is one row per text. A hot text makes one large partition on

@@ -62,23 +62,23 @@ class FitResult:
         return spark.createDataFrame([(run_id, *row) for row in self.history], HISTORY)
 
 
-def featurizer(cfg: FitConfig) -> Pipeline:
-    """Text to a frozen feature vector: hashed token counts with inverse
-    document frequency, projected if ``components`` is set."""
-    stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=SEPARATORS),
-    ]
-    tokens = "_tokens"
-    if cfg.max_tokens:
-        stages.append(SQLTransformer(statement=f"SELECT *, slice(_tokens, 1, {int(cfg.max_tokens)}) AS _kept FROM __THIS__"))
-        tokens = "_kept"
-    stages.append(HashingTF(inputCol=tokens, outputCol="_counts", numFeatures=cfg.features))
-    if cfg.components:
-        stages.append(IDF(inputCol="_counts", outputCol="_idf"))
-        stages.append(PCA(inputCol="_idf", outputCol="_features", k=cfg.components))
-    else:
-        stages.append(IDF(inputCol="_counts", outputCol="_features"))
-    return Pipeline(stages=stages)
+def counter(cfg: FitConfig) -> list:
+    """Stages from text to hashed token counts; they learn nothing."""
+    tokens = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=SEPARATORS)
+    counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=cfg.features)
+    if not cfg.max_tokens:
+        return [tokens, counts]
+    cut = SQLTransformer(statement=f"SELECT *, slice(_tokens, 1, {int(cfg.max_tokens)}) AS _kept FROM __THIS__")
+    return [tokens, cut, counts.setInputCol("_kept")]
+
+
+def weigher(cfg: FitConfig) -> Pipeline:
+    """Stages from counts to features, learned without labels and then frozen:
+    inverse document frequency, and a projection if ``components`` is set."""
+    if not cfg.components:
+        return Pipeline(stages=[IDF(inputCol="_counts", outputCol="_features")])
+    idf = IDF(inputCol="_counts", outputCol="_idf")
+    return Pipeline(stages=[idf, PCA(inputCol="_idf", outputCol="_features", k=cfg.components)])
 
 
 def _prepare(df: DataFrame, cfg: FitConfig, text: str, category: str, weights: DataFrame | None) -> DataFrame:
@@ -120,30 +120,44 @@ def _evaluate(model: LogisticRegressionModel, rows: DataFrame) -> tuple:
     return tuple(macro_metrics(confusion(scored)).first())
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that has fewer files than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitResult:
     """Fit with 1, 2, ... iterations until the validation score has not
     improved for ``patience`` rounds; keep the best round.
 
-    Features are computed once and kept in memory or on the executors' disks;
-    lost blocks are computed again from the source.
+    The frames that every round reads are kept in memory or on the executors'
+    disks; lost blocks are computed again from the source.
     """
     start = time.perf_counter()
     weighted = weights is not None
-    labelled = _prepare(train, cfg, text, category, weights)
-    frozen = featurizer(cfg).fit(labelled)
-    keep = ["_features", "label"] + (["weight"] if weighted else [])
-    rows = frozen.transform(labelled).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-    held = None
-    if val is not None:
-        held = frozen.transform(_prepare(val, cfg, text, category, None)).select("_features", "label")
-        held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    counting = PipelineModel(stages=counter(cfg))
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return kept[-1]
+
     try:
+        columns = ["label"] + (["weight"] if weighted else [])
+        labelled = _spread(_prepare(train, cfg, text, category, weights))
+        counts = keep(counting.transform(labelled).select("_counts", *columns))
+        frozen = weigher(cfg).fit(counts)
+        rows = frozen.transform(counts).select("_features", *columns)
+        if cfg.components:
+            rows = keep(rows)
         history, best, best_epoch, stale = [], None, cfg.rounds, 0
-        for epoch in range(1, cfg.rounds + 1) if held is not None else [cfg.rounds]:
+        if val is None:
+            best = _classifier(cfg, cfg.rounds, weighted).fit(rows)
+        else:
+            held = counting.transform(_spread(_prepare(val, cfg, text, category, None)))
+            held = keep(frozen.transform(held).select("_features", "label"))
+        for epoch in range(1, cfg.rounds + 1) if val is not None else ():
             head = _classifier(cfg, epoch, weighted).fit(rows)
-            if held is None:
-                best = head
-                break
             figures = _evaluate(head, held)
             improved = not history or figures[1] > history[best_epoch - 1][2]
             history.append((epoch, *figures))
@@ -154,11 +168,10 @@ def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitRe
                 if stale >= cfg.patience:
                     break
     finally:
-        rows.unpersist()
-        if held is not None:
-            held.unpersist()
+        for df in kept:
+            df.unpersist()
     names = IndexToString(inputCol="_id", outputCol="_label", labels=list(cfg.labels))
-    model = PipelineModel(stages=[*frozen.stages, best, names])
+    model = PipelineModel(stages=[*counting.stages, *frozen.stages, best, names])
     seconds = time.perf_counter() - start
     return FitResult(model, history, best_epoch, seconds, weighted, cfg, param_counts(model))
 
@@ -208,19 +221,16 @@ def param_counts(model: PipelineModel) -> dict:
     }
 
 
-def record_of(result: FitResult, spark, metrics: tuple, model: str, method: str) -> DataFrame:
-    """The run record of a fit with its test metrics, as macro_metrics() orders
-    them: accuracy, f1, precision, recall."""
+def record_of(result: FitResult, metrics: DataFrame, model: str, method: str) -> DataFrame:
+    """The run record of a fit with its test figures, one row of macro_metrics()."""
+    figures = metrics.first().asDict()
     return run_record(
-        spark,
+        metrics.sparkSession,
         model=model,
         method=method,
         weighted=result.weighted,
-        accuracy=metrics[0],
-        f1_macro=metrics[1],
-        precision_macro=metrics[2],
-        recall_macro=metrics[3],
         training_time_seconds=result.seconds,
         seed=result.config.seed,
+        **figures,
         **result.params,
     )

@@ -88,6 +88,7 @@ def _cut_hashes(keys: DataFrame, strat: str, cuts: dict[str, dict]) -> DataFrame
         keys.alias("k")
         .join(F.broadcast(at_cut.alias("c")), F.expr("k._class <=> c._class and k._bucket = c._bucket"))
         .select("c._cut", "k._class", "k._h", "c._nth")
+        .repartition("_class")
         .withColumn("_rank", F.row_number().over(in_bucket))
         .filter("_rank = _nth")
     )
@@ -97,15 +98,13 @@ def _cut_hashes(keys: DataFrame, strat: str, cuts: dict[str, dict]) -> DataFrame
 
 
 def _assign(df: DataFrame, strat: str, seed: int, key: Sequence[str], cuts: dict[str, dict], last: str):
-    h = hash_hex(seed, "split", *key)
-    ends = _cut_hashes(df.select(strat, h.alias("_h")), strat, cuts)
-    side = F.lit(last)
-    for name in reversed(list(cuts)):
-        side = F.when(h <= F.col(f"_{name}"), F.lit(name)).otherwise(side)
+    hashed = df.withColumn("_h", hash_hex(seed, "split", *key))
+    ends = _cut_hashes(hashed.select(strat, "_h"), strat, cuts)
+    side = " ".join(f"WHEN _h <= _{name} THEN '{name}'" for name in cuts)
     return (
-        df.join(F.broadcast(ends), F.col(strat).eqNullSafe(F.col("_class")), "left")
-        .withColumn("split", side)
-        .drop("_class", *[f"_{name}" for name in cuts])
+        hashed.join(F.broadcast(ends), F.col(strat).eqNullSafe(F.col("_class")), "left")
+        .withColumn("split", F.expr(f"CASE {side} ELSE '{last}' END"))
+        .drop("_class", "_h", *[f"_{name}" for name in cuts])
     )
 
 

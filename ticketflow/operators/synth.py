@@ -27,6 +27,9 @@ def expand_quota(quotas: DataFrame) -> DataFrame:
     into chunks that are spread over the cluster before they become rows, so
     one dominant class is not one task.
     """
+    # An explicit number, because adaptive execution would merge partitions that
+    # are small before their rows are generated.
+    tasks = int(quotas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     earlier = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
         quotas.withColumn("_first", F.coalesce(F.sum("quota").over(earlier), F.lit(0)))
@@ -37,7 +40,7 @@ def expand_quota(quotas: DataFrame) -> DataFrame:
             "_first",
             F.explode(F.expr(f"sequence(0L, (quota - 1) div {CHUNK})")).alias("_chunk"),
         )
-        .repartition("category", "_chunk")
+        .repartition(tasks, "category", "_chunk")
     )
     row = F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(quota, (_chunk + 1) * {CHUNK}) - 1)"))
     return chunks.select("category", "_first", row.alias("_row")).select(

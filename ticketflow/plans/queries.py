@@ -9,14 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketflow.fixed_values import MAX_LENGTH
 from ticketflow.functions import scores
 from ticketflow.functions import text as tx
 from ticketflow.functions.draws import draw, pick, weighted_choice
 from ticketflow.operators import audits, encode, fit, labels, metrics, profile, runs, score, split, synth
-from ticketflow.plans import centroid
+from ticketflow.plans import centroid, training
 from ticketflow.plans.automation import automation_quality
 from ticketflow.plans.tables import (
     EVENT_CLASSES,
@@ -37,14 +36,13 @@ from ticketflow.sources import tickets as files
 from ticketflow.streaming import tickets as streams
 
 VOCABULARY = 2_000
-SMALL_FIT = fit.FitConfig(features=1 << 12, rounds=5, labels=LANGUAGES)
+SMALL_FIT = fit.FitConfig(features=1 << 12, labels=LANGUAGES)
+COMPACT_FIT = fit.FitConfig(features=512, components=32, labels=LANGUAGES)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    columns = [
-        F.round(c, places).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c) for c in df.columns
-    ]
-    return df.select(*columns)
+    doubles = {c: F.round(c, places) for c, kind in df.dtypes if kind == "double"}
+    return df.withColumns(doubles)
 
 
 def joined(arr: str) -> F.Column:
@@ -470,58 +468,51 @@ def conflicting_labels(spark, d):
 # --- fitted models (no SQL equivalent)
 
 
-def _fitted(spark, d, compact=False):
-    rows = _document_splits(spark, d)
-    train, val = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+def _fitted(spark, d, compact=False, rounds=True):
+    """Train and test rows from stored splits, and a fit on them."""
+    train, val, test = training.store_splits(document_tickets(spark, d), shared_folder(spark), LANGUAGES)
     if compact:
-        cfg = fit.FitConfig(features=512, components=32, labels=LANGUAGES)
-        return rows, fit.fit_compact(train, val, cfg)
+        return test, fit.fit_compact(train, val, COMPACT_FIT)
     weights = labels.class_weights(train, LANGUAGES)
-    return rows, fit.fit_full(train, val, weights, SMALL_FIT)
-
-
-def _test_figures(spark, rows, result):
-    tested = score.score(result.model, rows.filter("split = 'test'")).withColumnRenamed("category", "truth")
-    return tested, metrics.macro_metrics(metrics.confusion(tested))
+    return test, fit.fit_full(train, val if rounds else None, weights, SMALL_FIT)
 
 
 def fitted_full(spark, d):
-    """Class-weighted fit on document languages: test figures and history."""
-    rows, result = _fitted(spark, d)
-    _, figures = _test_figures(spark, rows, result)
-    return fit.record_of(result, spark, tuple(figures.first()), "hashed", "full")
+    """Class-weighted fit on document languages: the run record."""
+    test, result = _fitted(spark, d)
+    return training.evaluated(result, test, "hashed", "full")
 
 
 def fitted_compact(spark, d):
-    rows, result = _fitted(spark, d, compact=True)
-    _, figures = _test_figures(spark, rows, result)
-    return fit.record_of(result, spark, tuple(figures.first()), "projected", "compact")
+    """Unweighted fit on a projection: the run record."""
+    test, result = _fitted(spark, d, compact=True)
+    return training.evaluated(result, test, "projected", "compact")
 
 
 def fit_history(spark, d):
+    """Validation figures of each round of the full fit."""
     _, result = _fitted(spark, d)
     return result.history_frame(spark, "full")
 
 
 def scored_documents(spark, d):
     """The fitted model on every test document, as prediction records."""
-    rows, result = _fitted(spark, d)
-    tested, _ = _test_figures(spark, rows, result)
-    return score.prediction_record(tested.withColumn("text", F.md5("text")))
+    test, result = _fitted(spark, d, rounds=False)
+    return score.prediction_record(score.score(result.model, test).withColumn("text", F.md5("text")))
 
 
 def reloaded_model(spark, d):
-    """Rows where the saved and the loaded model differ; there are none, so
-    the row says over how many."""
-    rows, result = _fitted(spark, d)
+    """How many test rows the saved and loaded model scores, and how many of
+    them differently."""
+    test, result = _fitted(spark, d, rounds=False)
     path = shared_folder(spark)
     run_files.save_model(result.model, path)
-    test = rows.filter("split = 'test'")
-    both = score.score(run_files.load_model(path), test).select("id", F.col("prediction").alias("p"), F.col("confidence").alias("c")).join(
-        score.score(result.model, test).select("id", "prediction", "confidence"), "id"
+    first = score.score(result.model, test).select("id", "prediction", "confidence")
+    again = score.score(run_files.load_model(path), test).select(
+        "id", F.col("prediction").alias("p"), F.col("confidence").alias("c")
     )
     same = (F.col("p") == F.col("prediction")) & (F.abs(F.col("c") - F.col("confidence")) < 1e-12)
-    return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("different"))
+    return first.join(again, "id").agg(F.count("*").alias("n"), F.count_if(~same).alias("different"))
 
 
 def external_scores(spark, d):
@@ -543,10 +534,10 @@ def external_scores(spark, d):
 
 
 def streamed_scores(spark, d):
-    """The test documents scored as a stream: same rows as in batch."""
-    rows, result = _fitted(spark, d)
+    """The stored documents of the test split scored as a stream."""
+    test, result = _fitted(spark, d, rounds=False)
     base = shared_folder(spark)
-    files.write_tickets(rows.filter("split = 'test'").drop("split"), f"{base}/in")
+    files.write_tickets(test, f"{base}/in")
     stream = streams.read_stream(spark, f"{base}/in", schema=TICKET, files_per_batch=4)
     scored = streams.score_stream(result.model, stream).select("id", "prediction", "confidence", "decision")
     query = streams.write_stream(scored, f"{base}/out", f"{base}/checkpoint", partition_by=["decision"])
