@@ -22,7 +22,7 @@ def hash_hex(seed: int, tag: str, *key: str | Column) -> Column:
 def draw(seed: int, tag: str, *key: str | Column) -> Column:
     """Uniform double in [0, 1) from the first 52 bits of the hash."""
     head = F.substring(hash_hex(seed, tag, *key), 1, 13)
-    return F.conv(head, 16, 10).cast("double") / F.lit(float(2**52))
+    return F.conv(head, 16, 10).cast("long") / F.lit(float(2**52))
 
 
 def pick(values: str | Column, u: Column) -> Column:
@@ -32,7 +32,8 @@ def pick(values: str | Column, u: Column) -> Column:
 
 
 def weighted_choice(values: Sequence, weights: Sequence[int], u: Column) -> Column:
-    """One of ``values`` with probability proportional to its weight."""
+    """One of ``values`` with probability proportional to its weight. Pass a
+    draw that is already a column: it is compared once per value."""
     if len(values) != len(weights) or not values or min(weights) < 0 or sum(weights) == 0:
         raise ValueError("values and weights must match and hold a positive weight")
     scaled, bound, choice = u * F.lit(float(sum(weights))), 0, None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.functions.text import normalise
+from ticketflow.operators.skew import semi_join
 from ticketflow.operators.split import TEST, TRAIN, VALIDATION
 
 
@@ -78,8 +79,9 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def text_key(text: str) -> F.Column:
-    """A short stand-in for the normalised text, so texts are not shuffled."""
-    return F.md5(normalise(text))
+    """A short stand-in for the normalised text, so texts are not shuffled. A
+    missing text counts as an empty one."""
+    return F.md5(normalise(F.coalesce(F.col(text), F.lit(""))))
 
 
 def split_leakage(
@@ -113,20 +115,16 @@ def split_leakage(
 
 
 def leaked_rows(df: DataFrame, text: str = "text", split: str = "split", train: str = TRAIN) -> DataFrame:
-    """Held-out rows whose normalised text occurs in train.
-
-    The train side is one row per text. A hot text makes one large partition on
-    the held-out side only, which adaptive execution splits.
-    """
+    """Held-out rows whose normalised text occurs in train."""
     keyed = df.withColumn("_t", text_key(text))
     seen = keyed.filter(F.col(split) == train).select("_t").distinct()
-    return keyed.filter(F.col(split) != train).join(seen, "_t", "left_semi").drop("_t")
+    return semi_join(keyed.filter(F.col(split) != train), seen, "_t").drop("_t")
 
 
 def overlap_with(df: DataFrame, other: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``df`` whose normalised text occurs in ``other``."""
     seen = other.select(text_key(text).alias("_t")).distinct()
-    return df.withColumn("_t", text_key(text)).join(seen, "_t", "left_semi").drop("_t")
+    return semi_join(df.withColumn("_t", text_key(text)), seen, "_t").drop("_t")
 
 
 def conflicting_labels(df: DataFrame, text: str = "text", category: str = "category") -> DataFrame:

@@ -1,0 +1,28 @@
+"""A semi join for keys of which a few may hold most rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ticketflow.schema import MAX_INLINE_ROWS
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with more than 1/MAX_INLINE_ROWS of all rows, so there are fewer
+    than MAX_INLINE_ROWS of them whatever the data is."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") * MAX_INLINE_ROWS > total).select(key)
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``keys`` (one row per key).
+
+    Rows of hot keys meet a broadcast list of bounded size where they are;
+    only the rest, which has no hot key, is shuffled.
+    """
+    hot = hot_keys(rows, key)
+    hot_found = rows.join(F.broadcast(hot.join(keys, key, "left_semi")), key, "left_semi")
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(keys, key, "left_semi")
+    return hot_found.unionByName(rest)

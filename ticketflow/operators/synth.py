@@ -50,24 +50,27 @@ def expand_quota(quotas: DataFrame) -> DataFrame:
 
 def fill_template(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Add ``text``: a template of the row's class with its slot filled."""
-    spark = df.sparkSession
-    template = pick("templates", draw(seed, "template", "id"))
     return (
-        df.join(F.broadcast(template_table(spark)), "category", "left")
-        .withColumn("_template", template)
-        .withColumn("text", fill_slots("_template", slot_arrays(), draw(seed, "slot", "id")))
-        .drop("templates", "_template")
+        df.join(F.broadcast(template_table(df.sparkSession)), "category", "left")
+        .withColumn("_template", pick("templates", draw(seed, "template", "id")))
+        .withColumn("_u", draw(seed, "slot", "id"))
+        .withColumn("text", fill_slots("_template", slot_arrays(), F.col("_u")))
+        .drop("templates", "_template", "_u")
     )
 
 
 def annotate_confidence(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Add ``annotator_confidence``, drawn by class."""
-    u = draw(seed, "confidence", "id")
+    u = F.col("_u")
     value = F.when(
         F.col("category").isin(*CONFIDENT_CLASSES),
         weighted_choice(CONFIDENT_VALUES, CONFIDENT_WEIGHTS, u),
     ).otherwise(weighted_choice(OTHER_VALUES, OTHER_WEIGHTS, u))
-    return df.withColumn("annotator_confidence", value.cast("int"))
+    return (
+        df.withColumn("_u", draw(seed, "confidence", "id"))
+        .withColumn("annotator_confidence", value.cast("int"))
+        .drop("_u")
+    )
 
 
 def shuffle_rows(df: DataFrame, seed: int = SEED, key: str = "id") -> DataFrame:
