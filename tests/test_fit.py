@@ -19,7 +19,7 @@ def full(splits):
 
 def test_full_fit_on_the_standard_table(spark, splits, full):
     record = training.evaluated(full, splits[2], "hashed", "full").first()
-    assert record.f1_macro > 0.99 and record.accuracy > 0.99
+    assert record.f1_macro == 1.0 and record.accuracy == 1.0
     assert record.weighted and record.seed == 42 and record.training_time_seconds > 0
     history = full.history_frame(spark).collect()
     best = max(r.f1_macro for r in history)
@@ -83,7 +83,7 @@ def test_reload_and_stream(spark, splits, full, tmp_path):
 
 def test_compact_fit(spark, splits):
     train, val, test = splits
-    result = fit.fit_compact(train, val, fit.FitConfig(features=256, components=16, rounds=8))
+    result = fit.fit_compact(train, val, fit.FitConfig(features=256, components=16))
     assert not result.weighted and result.params["trainable_parameters"] == 6 * 16 + 6
     assert result.params["trainable_percentage"] < 5
     figures = training.evaluated(result, test, "projected", "compact").first()
@@ -93,14 +93,14 @@ def test_compact_fit(spark, splits):
 def test_errors_on_new_examples(spark, full):
     scored = score.score(full.model, files.inline_examples(spark)).withColumnRenamed("expected", "truth")
     summary = metrics.error_summary(metrics.confusion(scored)).first()
-    assert summary.evaluated == 10 and summary.correct >= 5
+    assert summary.evaluated == 10 and summary.correct >= 7
     assert metrics.errors(scored).count() == summary.errors
 
 
 def test_token_limit_and_unknown_labels(spark):
     rows = [("a b zzz", "x"), ("b a zzz", "x"), ("c d zzz", "y"), ("d c zzz", "y"), ("q", "other"), ("q", None)] * 5
     df = spark.createDataFrame(rows, "text string, category string")
-    cfg = fit.FitConfig(features=64, labels=["x", "y", "absent"], max_tokens=2, rounds=3)
+    cfg = fit.FitConfig(features=64, labels=["x", "y", "absent"], max_tokens=2)
     result = fit.fit_full(df, None, None, cfg)
     out = score.score(result.model, df.select("text"), keep_probs=True).collect()
     assert all(len(r.probs) == 3 for r in out)

@@ -34,14 +34,16 @@ from ticketflow.schema import HISTORY
 
 @dataclass(frozen=True)
 class FitConfig:
-    """``max_tokens`` None reads whole texts; a number keeps the first tokens
-    of each, as a model with a fixed input length would."""
+    """A round adds ``iterations_per_round`` passes over the training rows.
+    ``max_tokens`` None reads whole texts; a number keeps the first tokens of
+    each, as a model with a fixed input length would."""
 
     features: int = 1 << 14
     components: int | None = None
     max_tokens: int | None = None
     reg_param: float = 0.001
     rounds: int = ROUNDS
+    iterations_per_round: int = 5
     patience: int = PATIENCE
     aggregation_depth: int = 2
     seed: int = SEED
@@ -97,7 +99,7 @@ def _prepare(df: DataFrame, cfg: FitConfig, text: str, category: str, weights: D
     return rows.select(*columns)
 
 
-def _classifier(cfg: FitConfig, max_iter: int, weighted: bool) -> LogisticRegression:
+def _classifier(cfg: FitConfig, rounds: int, weighted: bool) -> LogisticRegression:
     lr = LogisticRegression(
         featuresCol="_features",
         labelCol="label",
@@ -106,7 +108,7 @@ def _classifier(cfg: FitConfig, max_iter: int, weighted: bool) -> LogisticRegres
         predictionCol="_id",
         family="multinomial",
         regParam=cfg.reg_param,
-        maxIter=max_iter,
+        maxIter=rounds * cfg.iterations_per_round,
         tol=0.0,
         aggregationDepth=cfg.aggregation_depth,
     )
@@ -127,8 +129,9 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitResult:
-    """Fit with 1, 2, ... iterations until the validation score has not
-    improved for ``patience`` rounds; keep the best round.
+    """Fit for 1, 2, ... rounds until the validation score has not improved
+    for ``patience`` rounds; keep the best. Each fit starts anew, and its
+    passes repeat those of the shorter fits exactly.
 
     The frames that every round reads are kept in memory or on the executors'
     disks; lost blocks are computed again from the source.

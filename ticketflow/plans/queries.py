@@ -36,8 +36,8 @@ from ticketflow.sources import tickets as files
 from ticketflow.streaming import tickets as streams
 
 VOCABULARY = 2_000
-SMALL_FIT = fit.FitConfig(features=1 << 12, labels=LANGUAGES)
-COMPACT_FIT = fit.FitConfig(features=512, components=32, labels=LANGUAGES)
+SMALL_FIT = fit.FitConfig(features=1 << 12, iterations_per_round=1, labels=LANGUAGES)
+COMPACT_FIT = fit.FitConfig(features=512, components=32, iterations_per_round=1, labels=LANGUAGES)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
