@@ -34,17 +34,14 @@ def class_weights(df: DataFrame, labels: Sequence[str] = LABELS, col: str = "cat
     has null n and weight. Give it the training rows only.
     """
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    dim = label_dimension(df.sparkSession, labels)
+    listed = F.collect_list(F.when(F.col(col).isin(*labels), F.struct(F.col(col), F.col("n"))))
+    gathered = counts.agg(F.sum("n").alias("_total"), F.map_from_entries(listed).alias("_by"))
+    names = F.posexplode(F.array(*[F.lit(name) for name in labels])).alias("label_id", "category")
     return (
-        dim.join(counts.withColumnRenamed(col, "category"), "category", "left")
-        .select(
-            "label_id",
-            "category",
-            "n",
-            (total / (F.lit(len(labels)) * F.col("n"))).alias("weight"),
-        )
-        .orderBy("label_id")
+        gathered.select("_total", "_by", names)
+        .withColumn("n", F.try_element_at("_by", "category"))
+        .withColumn("weight", F.col("_total") / (F.lit(len(labels)) * F.col("n")))
+        .select("label_id", "category", "n", "weight")
     )
 
 

@@ -2,9 +2,10 @@
 
 Rows are ordered by a keyed hash inside their class and cut at the class
 allocation. The cut is found from key-only scans: bucket counts say which hash
-bucket holds the cut, and only that bucket's rows are ranked. The table itself
-is then labelled in one pass, by comparing each row's hash with the cut hash
-of its class, without being shuffled.
+bucket holds the cut, and only that bucket's rows are ranked. The hash at each
+cut, one value per class, is then all that a split is: rows are labelled where
+they are, by comparing their hash with it, and using the result again costs
+nothing but its scan.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ticketflow.functions.draws import hash_hex
 from ticketflow.operators.rank import bucket, bucket_bounds
 from ticketflow.schema import MAX_INLINE_ROWS, inline_table
 
+MAX_CLASSES = MAX_INLINE_ROWS // 2
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 
@@ -52,30 +54,27 @@ def two_way(counts: Sequence[int], test_size: Decimal) -> list[int]:
 def stratum_counts(df: DataFrame, strat: str, labels: Sequence[str] | None = None) -> dict:
     """Rows per class on the driver, in label order; refuses a column that is
     no class column."""
-    rows = df.groupBy(strat).agg(F.count("*").alias("n")).limit(MAX_INLINE_ROWS + 1).collect()
-    if len(rows) > MAX_INLINE_ROWS:
-        raise ValueError(f"{strat} has more than {MAX_INLINE_ROWS} classes")
+    rows = df.groupBy(strat).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{strat} has more than {MAX_CLASSES} classes")
     place = {name: i for i, name in enumerate(labels or ())}
     rows.sort(key=lambda r: (place.get(r[0], len(place)), r[0] is None, r[0] if r[0] is not None else 0))
     return {r[0]: r["n"] for r in rows}
 
 
-def _cut_hashes(keys: DataFrame, strat: str, cuts: dict[str, dict]) -> DataFrame:
-    """One row per class with the hash of the last row before each cut.
+def _cut_hashes(keys: DataFrame, cuts: dict[str, dict]) -> dict:
+    """{(cut, class): hash of the last row before the cut} from ``_class, _h``.
 
     ``cuts`` maps a cut name to {class: rows before the cut}.
     """
-    spark = keys.sparkSession
     flat = [(name, value, n) for name, by in cuts.items() for value, n in by.items() if n > 0]
-    wanted = inline_table(
-        spark,
-        {
-            "_cut": pa.array([f[0] for f in flat], pa.string()),
-            "_class": pa.array([f[1] for f in flat]),
-            "_n": pa.array([f[2] for f in flat], pa.int64()),
-        },
+    wanted = _per_class(
+        keys,
+        [f[1] for f in flat],
+        _cut=pa.array([f[0] for f in flat], pa.string()),
+        _n=pa.array([f[2] for f in flat], pa.int64()),
     )
-    keys = keys.select(F.col(strat).alias("_class"), "_h", bucket(F.col("_h")).alias("_bucket"))
+    keys = keys.withColumn("_bucket", bucket(F.col("_h")))
     bounds = bucket_bounds(keys, ["_class"])
     at_cut = (
         bounds.alias("b")
@@ -88,21 +87,30 @@ def _cut_hashes(keys: DataFrame, strat: str, cuts: dict[str, dict]) -> DataFrame
         keys.alias("k")
         .join(F.broadcast(at_cut.alias("c")), F.expr("k._class <=> c._class and k._bucket = c._bucket"))
         .select("c._cut", "k._class", "k._h", "c._nth")
-        .repartition("_class")
         .withColumn("_rank", F.row_number().over(in_bucket))
         .filter("_rank = _nth")
     )
-    return found.groupBy("_class").agg(
-        *[F.max(F.when(F.col("_cut") == name, F.col("_h"))).alias(f"_{name}") for name in cuts]
-    )
+    return {(r["_cut"], r["_class"]): r["_h"] for r in found.select("_cut", "_class", "_h").collect()}
+
+
+def _per_class(keys: DataFrame, classes: list, **columns: pa.Array) -> DataFrame:
+    """An inline table by class, with the class in the type it has in ``keys``."""
+    table = inline_table(keys.sparkSession, {"_class": pa.array(classes), **columns})
+    return table.withColumn("_class", F.col("_class").cast(keys.schema["_class"].dataType))
 
 
 def _assign(df: DataFrame, strat: str, seed: int, key: Sequence[str], cuts: dict[str, dict], last: str):
-    hashed = df.withColumn("_h", hash_hex(seed, "split", *key))
-    ends = _cut_hashes(hashed.select(strat, "_h"), strat, cuts)
+    h = hash_hex(seed, "split", *key)
+    keys = df.select(F.col(strat).alias("_class"), h.alias("_h"))
+    found = _cut_hashes(keys, cuts)
+    classes = list(next(iter(cuts.values())))
+    ends = _per_class(
+        keys, classes, **{f"_{name}": pa.array([found.get((name, c)) for c in classes], pa.string()) for name in cuts}
+    )
     side = " ".join(f"WHEN _h <= _{name} THEN '{name}'" for name in cuts)
     return (
-        hashed.join(F.broadcast(ends), F.col(strat).eqNullSafe(F.col("_class")), "left")
+        df.withColumn("_h", h)
+        .join(F.broadcast(ends), F.col(strat).eqNullSafe(F.col("_class")), "left")
         .withColumn("split", F.expr(f"CASE {side} ELSE '{last}' END"))
         .drop("_class", "_h", *[f"_{name}" for name in cuts])
     )
