@@ -56,6 +56,20 @@ def test_null_and_empty_text(spark, full):
     assert len(rows) == 2 and rows[0].prediction == rows[1].prediction
 
 
+def test_empty_table(spark, full):
+    empty = spark.createDataFrame([], "id long, text string, category string")
+    scored = score.score(full.model, empty)
+    assert scored.columns == ["id", "text", "category", "prediction", "confidence", "decision"]
+    assert scored.count() == 0
+
+
+def test_spread_rows_fit_the_same(splits, full):
+    cfg = fit.FitConfig(features=4096, partitions=5, rounds=1)
+    train, val, _ = splits
+    again = fit.fit_full(train, val, labels.class_weights(train), cfg)
+    assert again.history[0] == pytest.approx(full.history[0])
+
+
 def test_name_clash(splits, full):
     with pytest.raises(ValueError):
         score.score(full.model, splits[2].withColumn("confidence", F.lit(1)))

@@ -31,3 +31,10 @@ def test_decode_and_weight(spark):
 
 def test_only_text_and_label_reach_a_fit(tickets):
     assert profile.to_labelled(tickets).columns == ["text", "label"]
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "category string, split string")
+    assert profile.class_counts(empty, pct=True).collect() == []
+    assert profile.row_counts(empty).collect() == []
+    assert [tuple(r) for r in labels.class_weights(empty, ["a"]).collect()] == [(0, "a", None, None)]

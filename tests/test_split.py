@@ -1,6 +1,8 @@
 from collections import Counter
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ def test_largest_remainder():
     assert sum(split.largest_remainder([3 * 10**12, 7, 11], 10**12)) == 10**12
 
 
+@given(st.lists(st.integers(1, 10**12), min_size=1, max_size=12), st.data())
+def test_allocation_is_exact_and_proportional(counts, data):
+    draws = data.draw(st.integers(0, sum(counts)))
+    shares = split.largest_remainder(counts, draws)
+    assert sum(shares) == draws
+    for n, share in zip(counts, shares):
+        assert 0 <= share <= n and abs(share * sum(counts) - n * draws) < sum(counts)
+
+
 def test_null_is_a_class_of_its_own(spark):
     rows = [(i, None if i % 5 == 0 else "a") for i in range(50)]
     cut = split.stratified_split(spark.createDataFrame(rows, "id long, category string"), test_size="0.2")

@@ -60,6 +60,14 @@ def test_vocabulary_and_ids(spark):
         encode.build_vocabulary(docs, 10**9)
 
 
+def test_large_vocabulary_is_refused(spark, monkeypatch):
+    docs = encode.tokenize(spark.createDataFrame([("a b c d",)], "text string"))
+    vocabulary = encode.build_vocabulary(docs, 4)
+    monkeypatch.setattr(encode, "MAX_VOCABULARY", 3)
+    with pytest.raises(Exception, match="too large"):
+        encode.token_ids(docs, vocabulary).collect()
+
+
 def test_ids_need_no_shuffle_of_the_rows(spark):
     docs = encode.tokenize(spark.createDataFrame([("a b",)], "text string"))
     ids = encode.token_ids(docs, encode.build_vocabulary(docs, 10))

@@ -80,8 +80,9 @@ def _lookup(vocabulary: DataFrame) -> Column:
     dense = slots.join(grouped, "_slot", "left").select(
         F.struct("_slot", F.coalesce("_entries", F.array().cast(grouped.schema["_entries"].dataType)).alias("e")).alias("_s")
     )
-    ordered = F.array_sort(F.collect_list("_s"))
-    return dense.agg(F.transform(ordered, lambda s: F.map_from_entries(s["e"]))).scalar()
+    maps = F.transform(F.array_sort(F.collect_list("_s")), lambda s: F.map_from_entries(s["e"]))
+    too_many = F.sum(F.size("_s.e")) > MAX_VOCABULARY + len(RESERVED_TOKENS)
+    return dense.agg(F.when(too_many, F.raise_error(F.lit("vocabulary too large"))).otherwise(maps)).scalar()
 
 
 def _slot(token: Column) -> Column:
@@ -90,9 +91,9 @@ def _slot(token: Column) -> Column:
 
 def token_ids(df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", name: str = "ids") -> DataFrame:
     """Add the id array of a token array; a token outside the vocabulary gets
-    the unknown id. Expects at most MAX_VOCABULARY entries."""
+    the unknown id. More than MAX_VOCABULARY entries are refused."""
     unknown = F.lit(RESERVED_TOKENS.index(UNK))
-    table = _lookup(vocabulary.limit(MAX_VOCABULARY + len(RESERVED_TOKENS)))
+    table = _lookup(vocabulary)
     ids = F.transform(
         F.col(tokens), lambda t: F.coalesce(F.try_element_at(F.get(F.col("_table"), _slot(t)), t), unknown)
     )

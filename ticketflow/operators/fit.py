@@ -36,7 +36,8 @@ from ticketflow.schema import HISTORY
 class FitConfig:
     """A round adds ``iterations_per_round`` passes over the training rows.
     ``max_tokens`` None reads whole texts; a number keeps the first tokens of
-    each, as a model with a fixed input length would."""
+    each, as a model with a fixed input length would. ``partitions`` spreads
+    training rows that lie in fewer pieces than the cluster has cores."""
 
     features: int = 1 << 14
     components: int | None = None
@@ -45,6 +46,7 @@ class FitConfig:
     rounds: int = ROUNDS
     iterations_per_round: int = 5
     patience: int = PATIENCE
+    partitions: int | None = None
     aggregation_depth: int = 2
     seed: int = SEED
     labels: Sequence[str] = LABELS
@@ -122,12 +124,6 @@ def _evaluate(model: LogisticRegressionModel, rows: DataFrame) -> tuple:
     return tuple(macro_metrics(confusion(scored)).first())
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that has fewer files than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitResult:
     """Fit for 1, 2, ... rounds until the validation score has not improved
     for ``patience`` rounds; keep the best. Each fit starts anew, and its
@@ -147,7 +143,9 @@ def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitRe
 
     try:
         columns = ["label"] + (["weight"] if weighted else [])
-        labelled = _spread(_prepare(train, cfg, text, category, weights))
+        labelled = _prepare(train, cfg, text, category, weights)
+        if cfg.partitions:
+            labelled = labelled.repartition(cfg.partitions)
         counts = keep(counting.transform(labelled).select("_counts", *columns))
         frozen = weigher(cfg).fit(counts)
         rows = frozen.transform(counts).select("_features", *columns)
@@ -157,7 +155,7 @@ def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitRe
         if val is None:
             best = _classifier(cfg, cfg.rounds, weighted).fit(rows)
         else:
-            held = counting.transform(_spread(_prepare(val, cfg, text, category, None)))
+            held = counting.transform(_prepare(val, cfg, text, category, None))
             held = keep(frozen.transform(held).select("_features", "label"))
         for epoch in range(1, cfg.rounds + 1) if val is not None else ():
             head = _classifier(cfg, epoch, weighted).fit(rows)
