@@ -233,7 +233,7 @@ def _external() -> str:
 
 def sql() -> dict[str, str]:
     sp = DOCUMENT_SPLITS
-    third = [f"v{i}" for i in range(7)]
+    choices = [f"v{i}" for i in range(7)]
     weighted = _draw(7, "weighted", "o_orderkey")
     sweep = " UNION ALL ".join(
         f"""SELECT {t}::DOUBLE AS threshold, count(*) FILTER (confidence > {t}) AS automatic,
@@ -261,7 +261,7 @@ def sql() -> dict[str, str]:
         "held_out_predictions": f"""WITH {_centroid_scores()}
             SELECT vec_id, split, truth, prediction, round(confidence, 6) AS confidence, decision FROM scored""",
         "expand_quota": f"WITH {QUOTAS} SELECT id, category FROM expanded",
-        "random_choices": f"""SELECT o_orderkey, {_pick(_list(third), _draw(7, "pick", "o_orderkey"))} AS picked,
+        "random_choices": f"""SELECT o_orderkey, {_pick(_list(choices), _draw(7, "pick", "o_orderkey"))} AS picked,
             CAST(CASE WHEN {weighted} * 100 < 10 THEN 2 WHEN {weighted} * 100 < 35 THEN 3
                       WHEN {weighted} * 100 < 75 THEN 4 ELSE 5 END AS INTEGER) AS weighted FROM orders""",
         "generated_tickets": _generated(),
@@ -305,7 +305,7 @@ def sql() -> dict[str, str]:
               rtrim(repeat('1 ', len(toks)) || repeat('0 ', longest - len(toks)), ' ') AS mask FROM m""",
         "vocabulary": f"WITH {_vocabulary()} SELECT token, token_id FROM vocab",
         "token_ids": _encoded("SELECT conv_id, turn, text FROM conversations", "conv_id, turn"),
-        "example_token_ids": _encoded(examples, "text, expected").replace("SELECT text, expected, regexp", "SELECT text, expected, regexp"),
+        "example_token_ids": _encoded(examples, "text, expected"),
         "mapped_batches": """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem""",
         "softmax_rows": """WITH z AS (SELECT l_quantity / 10 AS a, l_discount * 50 AS b, l_tax * 50 AS c FROM lineitem),
             e AS (SELECT *, greatest(a, b, c) AS top FROM z),
