@@ -10,9 +10,11 @@ then dealt out to the pieces by their rank among those of one length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -50,25 +52,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_letters(self, stems: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, as one text: each is one word to the tokenizer, too."""
+        found = self.tokenizer.encode(" ".join(stems), add_special_tokens=False)
+        ids, words_ = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+        ends = (4 * (np.flatnonzero(np.diff(words_)) + 1)).tolist() + [len(ids)]
+        if len(ends) != len(stems):
+            return self._encode(stems)
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
     def learn(self, new: set[str]) -> None:
-        """Ids of words that are not known; a comma or full stop after a letter is a token of its own."""
-        if len(self.ids) + len(new) > CACHED:
-            self.ids.clear()
-        plain = {w: w[:-1].lower() if w[-1] in ".," and w[-2:-1].isalpha() else w.lower() for w in new if w.isascii()}
-        ask = {*plain.values(), *(w for w in new if w not in plain), ".", ","} - self.ids.keys()
-        asked = sorted(ask)
-        known = self.ids
-        known.update(zip(asked, self._encode(asked)))
-        for word, stem in plain.items():
-            if word[-1] in ".," and word[-2:-1].isalpha():
-                known[word] = known[stem] + known[word[-1]]
+        """Ids of words that are not known; a run of marks after letters is a token sequence of its own."""
+        known, split, others = self.ids, [], []
+        for word in new:
+            stem = word.rstrip(punctuation)
+            if stem.isalpha() and max(stem) < "\u0250" and (low := stem.lower()).isalpha():
+                split.append((word, low, word[len(stem) :]))
             else:
-                known[word] = known[stem]
+                others.append(word)
+        letters = {low for _, low, _ in split}.difference(known)
+        # to the model, plain letters are their own bytes
+        model = self.tokenizer.model
+        plain = [w for w in letters if w.isascii()]
+        known.update([(w, array("I", [t.id for t in model.tokenize(w)]).tobytes()) for w in plain])
+        letters = [w for w in letters if not w.isascii()]
+        for i in range(0, len(letters), 10_000):
+            part = letters[i : i + 10_000]
+            known.update(zip(part, self._encode_letters(part)))
+        others += {marks for _, _, marks in split}.difference(known)
+        known.update(zip(others, self._encode(others)))
+        known.update([(word, known[low] + known[marks]) for word, low, marks in split if marks or word != low])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if self._whole(t) else t.split() for t in texts]
@@ -80,18 +99,24 @@ class Encoder:
                 if split[j] is not None:
                     new.update(split[j])
                 j += 1
-            missing = new - self.ids.keys()
+            missing = new.difference(self.ids)
+            self.again |= new - missing
+            if len(self.ids) + 2 * len(missing) > CACHED:
+                self._forget()
+                missing = new.difference(self.ids)
             if missing:
-                self.learn(missing if len(self.ids) + 2 * len(missing) <= CACHED else self._anew(new))
+                self.learn(missing)
             find = self.ids.__getitem__
             for text, parts in zip(texts[i:j], split[i:j]):
                 out.append(self._encode([text])[0] if parts is None else b"".join(map(find, parts)))
             i = j
         return out
 
-    def _anew(self, new: set[str]) -> set[str]:
-        self.ids.clear()
-        return new
+    def _forget(self) -> None:
+        """Keep the words that came again since the last time, unless they are too many themselves."""
+        kept = self.again if len(self.again) < CACHED // 2 else set()
+        self.ids = {w: self.ids[w] for w in kept}
+        self.again = set()
 
     def _whole(self, text: str) -> bool:
         return any(c in text for c in self.ODD) or any(s in text for s in self.special)
