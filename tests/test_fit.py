@@ -133,3 +133,10 @@ def test_external_model(spark):
     for r in rows:
         assert r.prediction == ("up" if r.x >= 0 else "down")
         assert r.confidence == pytest.approx(1 / (1 + math.exp(-2 * abs(r.x))))
+
+
+def test_a_class_without_weight_is_an_error(spark):
+    rows = spark.createDataFrame([("a b", "technical"), ("c d", "account")] * 3, "text string, category string")
+    weights = spark.createDataFrame([("technical", 1.0)], "category string, weight double")
+    with pytest.raises(Exception, match="no weight"):
+        fit.fit_full(rows, None, weights, fit.FitConfig(features=64, rounds=1))

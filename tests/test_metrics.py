@@ -124,3 +124,18 @@ def test_macro_reads_the_rows_once(tickets):
     for result in (metrics.macro_metrics, metrics.class_report):
         plan = result(metrics.confusion(scored))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1
+
+
+def test_missing_sides_are_confused_pairs(spark):
+    rows = [("a", "a", 5), ("a", None, 4), (None, "a", 3), (None, None, 2), ("a", "b", 1)]
+    pairs = spark.createDataFrame(rows, "truth string, prediction string, n long")
+    got = [tuple(r) for r in metrics.confused_pairs(pairs).collect()]
+    assert got == [("a", None, 4), (None, "a", 3), (None, None, 2), ("a", "b", 1)]
+
+
+def test_a_label_without_weight_is_an_error(spark):
+    df = spark.createDataFrame([([0.5, 0.5], 0), ([0.5, 0.5], 1), ([0.5, 0.5], None)], "probs array<double>, truth int")
+    weights = spark.createDataFrame([(0, 1.0), (1, 2.0)], "label_id int, weight double")
+    assert metrics.weighted_log_loss(df, weights).first().log_loss == pytest.approx(0.693147, abs=1e-6)
+    with pytest.raises(Exception, match="no weight"):
+        metrics.weighted_log_loss(df, weights.limit(1)).collect()

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,16 +58,31 @@ def test_vocabulary_and_ids(spark):
     ids = encode.token_ids(encode.tokenize(spark.createDataFrame(rows, "text string")), vocabulary)
     assert [r.ids for r in ids.collect()] == [[6, 1, 5], [], [1]]
     assert ids.select(encode.pad_ids("ids", 4).alias("p")).first().p == [6, 1, 5, 0]
-    with pytest.raises(ValueError):
-        encode.build_vocabulary(docs, 10**9)
 
 
-def test_large_vocabulary_is_refused(spark, monkeypatch):
+def test_large_vocabulary_is_refused_on_request(spark):
     docs = encode.tokenize(spark.createDataFrame([("a b c d",)], "text string"))
-    vocabulary = encode.build_vocabulary(docs, 4)
-    monkeypatch.setattr(encode, "MAX_VOCABULARY", 3)
-    with pytest.raises(Exception, match="too large"):
-        encode.token_ids(docs, vocabulary).collect()
+    with pytest.raises(ValueError, match="exceeds 3"):
+        encode.token_ids(docs, encode.build_vocabulary(docs), limit=3)
+
+
+def test_whole_vocabulary_by_lookup_and_by_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = encode.tokenize(docs.union(spark.createDataFrame([(-1, ""), (-2, None), (-3, "[PAD] same same")], "doc_id long, text string")))
+    known = docs.filter("doc_id % 3 != 0")
+    vocabulary = encode.build_vocabulary(known)
+    counts = known.selectExpr("explode(tokens) AS token").groupBy("token").count().collect()
+    want = sorted(counts, key=lambda r: (-r["count"], hashlib.md5(r.token.encode()).hexdigest()))
+    assert {r.token: r.token_id for r in vocabulary.collect()} == {r.token: i + 4 for i, r in enumerate(want)}
+    found = {r.doc_id: r.ids for r in encode.token_ids(docs, vocabulary).collect()}
+    assert found == {r.doc_id: r.ids for r in encode.joined_token_ids(docs, vocabulary, ["doc_id"]).collect()}
+    assert len(found) == docs.count()
+
+
+def test_rows_without_a_batch_stay(spark):
+    rows = [(None, ["a"]), (None, ["a", "b"]), (1, [])]
+    padded = encode.pad_batch(spark.createDataFrame(rows, "batch_id int, tokens array<string>")).collect()
+    assert sorted(len(r.tokens) for r in padded) == [0, 2, 2]
 
 
 def test_ids_need_no_shuffle_of_the_rows(spark):

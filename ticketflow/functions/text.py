@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.fixed_values import CLS, PAD, SEP
 
-# Fixed value: everything but letters and digits separates tokens.
+# Everything but letters and digits separates tokens.
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 

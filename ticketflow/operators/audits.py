@@ -8,8 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketflow.functions.text import normalise
-from ticketflow.operators.skew import semi_join
+from ticketflow.functions.text import normalise, tokens
 from ticketflow.operators.split import TEST, TRAIN, VALIDATION
 
 
@@ -115,16 +114,55 @@ def split_leakage(
 
 
 def leaked_rows(df: DataFrame, text: str = "text", split: str = "split", train: str = TRAIN) -> DataFrame:
-    """Held-out rows whose normalised text occurs in train."""
-    keyed = df.withColumn("_t", text_key(text))
-    seen = keyed.filter(F.col(split) == train).select("_t").distinct()
-    return semi_join(keyed.filter(F.col(split) != train), seen, "_t").drop("_t")
+    """Held-out rows whose normalised text occurs in train.
+
+    One semi join against the distinct train texts, by their keys. A text that
+    most held-out rows have is one row on the right, and adaptive execution
+    splits the left side.
+    """
+    seen = df.filter(F.col(split) == train).select(text_key(text).alias("_t")).distinct()
+    return df.filter(F.col(split) != train).withColumn("_t", text_key(text)).join(seen, "_t", "left_semi").drop("_t")
 
 
-def overlap_with(df: DataFrame, other: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``df`` whose normalised text occurs in ``other``."""
-    seen = other.select(text_key(text).alias("_t")).distinct()
-    return semi_join(df.withColumn("_t", text_key(text)), seen, "_t").drop("_t")
+def contained_items(
+    items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", text: str = "text", width: int = 5
+) -> DataFrame:
+    """``item, doc`` of each item whose tokens stand in a row, whole, in a document.
+
+    Candidates share the item's first ``width`` tokens (all of a shorter one);
+    the whole item is then looked for in each. Items without tokens are in none.
+    """
+    words = items.select(F.col(item).alias("_item"), tokens(text).alias("_w")).filter("size(_w) > 0")
+    keyed = words.select(
+        "_item",
+        F.array_join("_w", " ").alias("_line"),
+        F.least(F.size("_w"), F.lit(width)).alias("_k"),
+        F.array_join(F.slice("_w", 1, width), " ").alias("_key"),
+    )
+    # at most `width` different lengths
+    lengths = [r[0] for r in keyed.select("_k").distinct().collect()] or [width]
+    toks = docs.select(F.col(doc).alias("_doc"), tokens(text).alias("_w"))
+    starts = [F.struct(F.lit(k).alias("k"), F.greatest(F.size("_w") - k + 1, F.lit(0)).alias("n")) for k in lengths]
+    parts = F.flatten(
+        F.transform(
+            F.array(*starts),
+            lambda s: F.transform(
+                F.when(s["n"] > 0, F.sequence(F.lit(1), s["n"])).otherwise(F.array().cast("array<int>")),
+                lambda i: F.array_join(F.slice("_w", i, s["k"]), " "),
+            ),
+        )
+    )
+    shared = toks.select("_doc", F.explode(F.array_distinct(parts)).alias("_key")).join(keyed.select("_item", "_key"), "_key")
+    pairs = shared.select("_doc", "_item").distinct()
+    lines = docs.select(F.col(doc).alias("_doc"), F.array_join(tokens(text), " ").alias("_in"))
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return (
+        pairs.join(keyed.select("_item", "_line"), "_item")
+        .join(lines, "_doc")
+        .filter(F.contains(padded("_in"), padded("_line")))
+        .select(F.col("_item").alias(item), F.col("_doc").alias(doc))
+        .distinct()
+    )
 
 
 def conflicting_labels(df: DataFrame, text: str = "text", category: str = "category") -> DataFrame:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.fixed_values import MAX_LENGTH, PAD, RESERVED_TOKENS, UNK
 from ticketflow.functions import text as tx
+from ticketflow.operators.rank import bucket, bucket_bounds
 
-# A vocabulary travels to every task, so its size is bounded.
-MAX_VOCABULARY = 200_000
 LOOKUP_BUCKETS = 4_096
 
 
@@ -32,37 +31,39 @@ def encode_fixed(df: DataFrame, col: str = "text", max_length: int = MAX_LENGTH)
 def pad_batch(df: DataFrame, batch: str = "batch_id", tokens: str = "tokens") -> DataFrame:
     """Pad ``tokens`` to the longest of the row's batch and add ``mask``.
 
-    Truncate first: then what moves to group a batch is bounded per row.
+    Truncate first: then what moves to group a batch is bounded per row. Rows
+    without a batch are one batch.
     """
-    longest = df.groupBy(batch).agg(F.max(F.size(tokens)).alias("_longest"))
+    longest = df.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.size(tokens)).alias("_longest"))
     return (
-        df.join(longest, batch)
+        df.join(longest, F.col(batch).eqNullSafe(F.col("_batch")))
         .withColumn("mask", tx.attention_mask(tokens, F.col("_longest")))
         .withColumn(tokens, tx.pad(tokens, F.col("_longest")))
-        .drop("_longest")
+        .drop("_longest", "_batch")
     )
 
 
-def build_vocabulary(df: DataFrame, size: int, tokens: str = "tokens") -> DataFrame:
-    """``token, token_id`` of the ``size`` most frequent tokens, ties by token.
+def build_vocabulary(df: DataFrame, size: int | None = None, tokens: str = "tokens") -> DataFrame:
+    """``token, token_id`` of all tokens, or of the ``size`` most frequent ones;
+    ties by the md5 of the token.
 
     Counts combine before the shuffle, so a token that is everywhere is cheap.
+    An id is the number of more frequent tokens plus the rank among those of
+    one count, which is found bucket by bucket: no task ranks all tokens.
     """
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary of {size} exceeds {MAX_VOCABULARY}")
-    top = (
-        df.select(F.explode(tokens).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(size)
-    )
-    place = F.posexplode(F.col("_t"))
-    ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "token"))).alias("_t"))
-    return ranked.select(place.alias("_i", "_e")).select(
-        F.col("_e.token").alias("token"),
-        (F.col("_i") + len(RESERVED_TOKENS)).cast("int").alias("token_id"),
-    )
+    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    keyed = counts.withColumn("_h", F.md5("token")).withColumn("_bucket", bucket(F.col("_h")))
+    # one row per distinct count: at most the square root of twice the tokens
+    more = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    above = keyed.groupBy("n").agg(F.count("*").alias("_same"))
+    above = above.select("n", F.coalesce(F.sum("_same").over(more), F.lit(0)).alias("_above"))
+    bounds = bucket_bounds(keyed.select("n", "_bucket"), by=["n"]).drop("_size")
+    within = Window.partitionBy("n", "_bucket").orderBy("_h", "token")
+    place = F.col("_above") + F.col("_below") + F.row_number().over(within) - 1
+    ranked = keyed.join(bounds, ["n", "_bucket"]).join(above, "n").select("token", place.alias("_i"))
+    if size is not None:
+        ranked = ranked.filter(F.col("_i") < size)
+    return ranked.select("token", (F.col("_i") + len(RESERVED_TOKENS)).cast("int").alias("token_id"))
 
 
 def _lookup(vocabulary: DataFrame) -> Column:
@@ -81,17 +82,25 @@ def _lookup(vocabulary: DataFrame) -> Column:
         F.struct("_slot", F.coalesce("_entries", F.array().cast(grouped.schema["_entries"].dataType)).alias("e")).alias("_s")
     )
     maps = F.transform(F.array_sort(F.collect_list("_s")), lambda s: F.map_from_entries(s["e"]))
-    too_many = F.sum(F.size("_s.e")) > MAX_VOCABULARY + len(RESERVED_TOKENS)
-    return dense.agg(F.when(too_many, F.raise_error(F.lit("vocabulary too large"))).otherwise(maps)).scalar()
+    return dense.agg(maps).scalar()
 
 
 def _slot(token: Column) -> Column:
     return F.pmod(F.hash(token), F.lit(LOOKUP_BUCKETS)).cast("int")
 
 
-def token_ids(df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", name: str = "ids") -> DataFrame:
+def token_ids(
+    df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", name: str = "ids", limit: int | None = None
+) -> DataFrame:
     """Add the id array of a token array; a token outside the vocabulary gets
-    the unknown id. More than MAX_VOCABULARY entries are refused."""
+    the unknown id.
+
+    For a vocabulary of a model's size: it is gathered into one value, and no
+    row is shuffled. ``limit`` refuses a larger one before it is gathered.
+    joined_token_ids() gives the same for any size.
+    """
+    if limit is not None and (entries := vocabulary.count()) > limit:
+        raise ValueError(f"a vocabulary of {entries} exceeds {limit}; use joined_token_ids()")
     unknown = F.lit(RESERVED_TOKENS.index(UNK))
     table = _lookup(vocabulary)
     ids = F.transform(
@@ -100,6 +109,26 @@ def token_ids(df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", name
     return df.withColumn("_table", table).withColumn(name, ids).drop("_table")
 
 
+def joined_token_ids(
+    df: DataFrame, vocabulary: DataFrame, key: Sequence[str], tokens: str = "tokens", name: str = "ids"
+) -> DataFrame:
+    """token_ids() by a join, for a vocabulary of any size.
+
+    ``key`` names columns that identify a row and hold no null. Each distinct
+    token of a row meets the vocabulary once; its ids come back as one map.
+    """
+    words = df.select(*key, F.explode(F.array_distinct(tokens)).alias("token"))
+    reserved = F.create_map(*[F.lit(x) for i, t in enumerate(RESERVED_TOKENS) for x in (t, i)])
+    known = vocabulary.select("token", "token_id").unionByName(
+        df.sparkSession.range(1).select(F.explode(reserved).alias("token", "token_id"))
+    )
+    pairs = words.join(known, "token").groupBy(*key).agg(F.collect_list(F.struct("token", "token_id")).alias("_pairs"))
+    found = pairs.select(*key, F.map_from_entries("_pairs").alias("_ids"))
+    unknown = F.lit(RESERVED_TOKENS.index(UNK))
+    ids = F.transform(F.col(tokens), lambda t: F.coalesce(F.try_element_at(F.col("_ids"), t), unknown))
+    return df.join(found, list(key), "left").withColumn(name, ids).drop("_ids")
+
+
 def pad_ids(ids: str | Column, length: int) -> Column:
     return tx.pad(ids, length, RESERVED_TOKENS.index(PAD))
 

@@ -96,8 +96,9 @@ def _prepare(df: DataFrame, cfg: FitConfig, text: str, category: str, weights: D
     ]
     if weights is not None:
         per_class = weights.select(F.col("category").alias(category), "weight")
-        rows = rows.join(F.broadcast(per_class), category)
-        columns.append("weight")
+        rows = rows.join(per_class, category, "left")
+        missing = F.raise_error(F.concat(F.lit("no weight for class "), F.col(category))).cast("double")
+        columns.append(F.coalesce("weight", missing).alias("weight"))
     return rows.select(*columns)
 
 

@@ -48,4 +48,4 @@ def class_weights(df: DataFrame, labels: Sequence[str] = LABELS, col: str = "cat
 def with_weight(df: DataFrame, weights: DataFrame, col: str = "category") -> DataFrame:
     """Add the class ``weight`` of each row; ``weights`` has one row per label."""
     per_class = weights.select(F.col("category").alias(col), "weight")
-    return df.join(F.broadcast(per_class), col, "left")
+    return df.join(per_class, col, "left")

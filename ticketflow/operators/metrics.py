@@ -156,14 +156,18 @@ def weighted_log_loss(
 ) -> DataFrame:
     """Sum(w * -ln p(truth)) / Sum(w) over the rows with a known truth.
 
-    ``truth`` is a label id; ``weights`` has one row per label.
+    ``truth`` is a label id; ``weights`` has one row per label. A truth without
+    a weight is an error.
     """
     p = F.get(F.col(probs), F.col(truth))
     loss = F.when(p == 0, F.lit(float("inf"))).otherwise(-F.ln(p))
     per_class = weights.select(F.col("label_id").alias(truth), "weight")
+    missing = F.raise_error(F.concat(F.lit("no weight for label "), F.col(truth).cast("string"))).cast("double")
     return (
         df.select(truth, loss.alias("_loss"))
-        .join(F.broadcast(per_class), truth)
+        .filter(F.col(truth).isNotNull())
+        .join(per_class, truth, "left")
+        .withColumn("weight", F.coalesce("weight", missing))
         .agg(F.try_divide(F.sum(F.col("weight") * F.col("_loss")), F.sum("weight")).alias(name))
     )
 
@@ -225,8 +229,9 @@ def error_summary(pairs: DataFrame) -> DataFrame:
 
 
 def confused_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent (truth, wrong prediction) pairs."""
-    wrong = pairs.filter(F.col("truth") != F.col("prediction"))
+    """The k most frequent (truth, wrong prediction) pairs; a missing side is
+    wrong, as in flag_errors()."""
+    wrong = pairs.filter(~F.coalesce(F.col("truth") == F.col("prediction"), F.lit(False)))
     return wrong.orderBy(F.desc("n"), "truth", "prediction").limit(k)
 
 

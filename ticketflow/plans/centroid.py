@@ -11,7 +11,7 @@ from ticketflow.fixed_values import SEED
 from ticketflow.functions import scores
 from ticketflow.operators.split import TRAIN, train_val_test_split
 
-# Fixed value: sharpens the softmax over the small inner products.
+# Sharpens the softmax over the small inner products.
 TEMPERATURE = 120.0
 
 
@@ -34,7 +34,8 @@ def score_held_out(
     outside the train split.
 
     The centroids, one vector per class, are gathered into one value that all
-    tasks get, so the rows are scored where they are.
+    tasks get, so the rows are scored where they are. A scalar may not stand in
+    a higher-order function, so it is a column of the one step that needs it.
     """
     split = train_val_test_split(df.select(key, label, embedding), label, seed=seed, key=key)
     learned = centroids(split.filter(F.col("split") == TRAIN), label, embedding)
@@ -43,9 +44,9 @@ def score_held_out(
     return (
         split.filter(F.col("split") != TRAIN)
         .withColumn("_table", table)
-        .withColumn("logits", logits)
+        .select(key, "split", label, logits.alias("logits"), F.transform("_table", lambda c: c["l"]).alias("_names"))
         .withColumn("probs", scores.softmax("logits"))
-        .withColumn("prediction", F.get("_table", scores.argmax("probs"))["l"])
+        .withColumn("prediction", F.get("_names", scores.argmax("probs")))
         .withColumn("confidence", F.array_max("probs"))
         .select(key, "split", F.col(label).alias("truth"), "logits", "probs", "prediction", "confidence")
     )

