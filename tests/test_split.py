@@ -87,3 +87,15 @@ def test_rows_are_not_shuffled(tickets):
 def test_class_column_of_nulls_only(spark):
     df = spark.range(20).withColumn("category", F.lit(None).cast("string"))
     assert split.stratified_split(df, test_size="0.5").filter("split = 'train'").count() == 10
+
+
+def test_repeated_keys_at_a_cut_are_refused(spark):
+    df = spark.createDataFrame([(i // 20, "a") for i in range(100)], "id long, category string")
+    with pytest.raises(ValueError, match="repeats"):
+        split.stratified_split(df, test_size="0.25")
+
+
+def test_nulls_in_a_key_are_told_apart(spark):
+    rows = [(1, None, 2), (1, 2, None), (None, 1, 2)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    assert df.select(hash_hex(1, "t", "a", "b", "c").alias("h")).distinct().count() == 3

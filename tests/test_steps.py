@@ -1,6 +1,7 @@
 import pytest
 
 from ticketflow.plans import steps
+from ticketflow.sources import tickets as files
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,9 @@ def test_automation(spark, folder):
 
 def test_examples_and_predictions(spark, folder):
     summary, wrong = steps.new_examples(spark, folder)
-    assert summary.first().correct >= 7 and summary.first().errors == wrong.count()
+    rows = wrong.collect()
+    assert len(rows) == 10 and {r.status for r in rows} <= {"OK", "ERROR"}
+    assert summary.first().correct >= 7 and summary.first().errors == sum(r.status == "ERROR" for r in rows)
     assert steps.predict(spark, folder, ["I want to cancel my subscription."]).first().category == "cancellation"
 
 
@@ -32,7 +35,33 @@ def test_compare(spark, folder):
     assert rows["f1_macro"]["full"] == 1.0
     assert rows["trainable_percentage"]["compact"] < rows["trainable_percentage"]["full"]
     assert chosen.first().method in steps.METHODS
+    classes = steps.class_scores(spark, folder).collect()
+    assert len(classes) == 6 and all(r.full == 1.0 and r.compact > 0.9 for r in classes)
+    for method in steps.METHODS:
+        assert spark.read.parquet(f"{folder}/history/{method}").count() >= 1
+        cells = spark.read.parquet(f"{folder}/reports/confusion/method={method}").drop("truth").collect()
+        assert sum(sum(r) for r in cells) == 750
 
 
 def test_existing_table(spark, tickets, tmp_path):
     assert steps.prepare_from(tickets, str(tmp_path / "j")).count() == 5000
+
+
+def test_tables_as_csv(spark, folder, tickets, tmp_path):
+    path = str(tmp_path / "j")
+    steps.prepare_from(tickets, path, csv=True)
+    assert files.read_split(spark, f"{path}/splits_csv", "test", "csv").count() == 750
+    steps.automate(spark, folder, csv=True)
+    assert spark.read.option("header", True).csv(f"{folder}/scored_csv").count() == 750
+
+
+def test_a_file_without_line_breaks_is_read_in_parts(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(200_000).selectExpr("id", "repeat('text ', 20) AS text", "'billing' AS category", "1 AS annotator_confidence").coalesce(1).write.option("header", True).csv(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert files.read_tickets(spark, path, multi_line=False).rdd.getNumPartitions() > 3
+        assert files.read_tickets(spark, path).rdd.getNumPartitions() == 1
+        assert files.read_tickets(spark, path, multi_line=False).count() == 200_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -14,8 +14,8 @@ def _col(c: str | Column) -> Column:
 
 
 def hash_hex(seed: int, tag: str, *key: str | Column) -> Column:
-    """32 hex digits per key. Key columns must not be null."""
-    parts = [_col(k).cast("string") for k in key]
+    """32 hex digits per key; a null part counts as the character U+0000."""
+    parts = [F.coalesce(_col(k).cast("string"), F.lit("\u0000")) for k in key]
     return F.md5(F.concat_ws(":", F.lit(f"{seed}:{tag}"), *parts))
 
 

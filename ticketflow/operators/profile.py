@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.fixed_values import LABELS
@@ -16,8 +16,8 @@ def class_counts(df: DataFrame, col: str = "category", pct: bool = False) -> Dat
     among the counted rows in percent."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
     if pct:
-        total = counts.agg(F.sum("n")).scalar()
-        counts = counts.withColumn("pct", F.col("n") * 100.0 / total)
+        # one row per class
+        counts = counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
     return counts.orderBy(F.desc("n"), col)
 
 

@@ -1,8 +1,9 @@
 """Exact, seeded, stratified splits of tables of any size.
 
 Rows are ordered by a keyed hash inside their class and cut at the class
-allocation. The cut is found from key-only scans: bucket counts say which hash
-bucket holds the cut, and only that bucket's rows are ranked. The hash at each
+allocation. The cut is found in two key-only scans: bucket counts say how many
+rows a class has and which hash bucket holds the cut, and only that bucket's
+rows are ranked. The hash at each
 cut, one value per class, is then all that a split is: rows are labelled where
 they are, by comparing their hash with it, and using the result again costs
 nothing but its scan.
@@ -15,12 +16,13 @@ from collections.abc import Sequence
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.fixed_values import SEED
 from ticketflow.functions.draws import hash_hex
-from ticketflow.operators.rank import bucket, bucket_bounds
+from ticketflow.operators.rank import bucket
 from ticketflow.schema import MAX_INLINE_ROWS, inline_table
 
 MAX_CLASSES = MAX_INLINE_ROWS // 2
@@ -51,21 +53,32 @@ def two_way(counts: Sequence[int], test_size: Decimal) -> list[int]:
     return largest_remainder(counts, n_train)
 
 
-def stratum_counts(df: DataFrame, strat: str, labels: Sequence[str] | None = None) -> dict:
+def bucket_counts(df: DataFrame, strat: str, h: Column) -> DataFrame:
+    """``_class, _bucket, _size``: all that the allocation and the place of the
+    cuts need. Kept, so that both read the source once; lost blocks are
+    computed again."""
+    keys = df.select(F.col(strat).alias("_class"), bucket(h).alias("_bucket"))
+    counts = keys.groupBy("_class", "_bucket").agg(F.count("*").alias("_size"))
+    return counts.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def stratum_counts(counts: DataFrame, labels: Sequence[str] | None = None) -> dict:
     """Rows per class on the driver, in label order; refuses a column that is
     no class column."""
-    rows = df.groupBy(strat).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+    rows = counts.groupBy("_class").agg(F.sum("_size").alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{strat} has more than {MAX_CLASSES} classes")
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     place = {name: i for i, name in enumerate(labels or ())}
     rows.sort(key=lambda r: (place.get(r[0], len(place)), r[0] is None, r[0] if r[0] is not None else 0))
     return {r[0]: r["n"] for r in rows}
 
 
-def _cut_hashes(keys: DataFrame, cuts: dict[str, dict]) -> dict:
+def _cut_hashes(keys: DataFrame, counts: DataFrame, cuts: dict[str, dict]) -> dict:
     """{(cut, class): hash of the last row before the cut} from ``_class, _h``.
 
-    ``cuts`` maps a cut name to {class: rows before the cut}.
+    ``cuts`` maps a cut name to {class: rows before the cut}. Raises ValueError
+    if the next row has the same hash: then the key repeats, and the side would
+    be larger than asked for.
     """
     flat = [(name, value, n) for name, by in cuts.items() for value, n in by.items() if n > 0]
     wanted = _per_class(
@@ -74,8 +87,8 @@ def _cut_hashes(keys: DataFrame, cuts: dict[str, dict]) -> dict:
         _cut=pa.array([f[0] for f in flat], pa.string()),
         _n=pa.array([f[2] for f in flat], pa.int64()),
     )
-    keys = keys.withColumn("_bucket", bucket(F.col("_h")))
-    bounds = bucket_bounds(keys, ["_class"])
+    earlier = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = counts.withColumn("_below", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     at_cut = (
         bounds.alias("b")
         .join(F.broadcast(wanted.alias("w")), F.expr("b._class <=> w._class"))
@@ -84,13 +97,17 @@ def _cut_hashes(keys: DataFrame, cuts: dict[str, dict]) -> dict:
     )
     in_bucket = Window.partitionBy("_cut", "_class").orderBy("_h")
     found = (
-        keys.alias("k")
+        keys.withColumn("_bucket", bucket(F.col("_h"))).alias("k")
         .join(F.broadcast(at_cut.alias("c")), F.expr("k._class <=> c._class and k._bucket = c._bucket"))
         .select("c._cut", "k._class", "k._h", "c._nth")
+        .withColumn("_next", F.lead("_h").over(in_bucket))
         .withColumn("_rank", F.row_number().over(in_bucket))
         .filter("_rank = _nth")
+        .collect()
     )
-    return {(r["_cut"], r["_class"]): r["_h"] for r in found.select("_cut", "_class", "_h").collect()}
+    if any(r["_h"] == r["_next"] for r in found):
+        raise ValueError("the key does not identify rows: it repeats at a cut")
+    return {(r["_cut"], r["_class"]): r["_h"] for r in found}
 
 
 def _per_class(keys: DataFrame, classes: list, **columns: pa.Array) -> DataFrame:
@@ -99,10 +116,10 @@ def _per_class(keys: DataFrame, classes: list, **columns: pa.Array) -> DataFrame
     return table.withColumn("_class", F.col("_class").cast(keys.schema["_class"].dataType))
 
 
-def _assign(df: DataFrame, strat: str, seed: int, key: Sequence[str], cuts: dict[str, dict], last: str):
-    h = hash_hex(seed, "split", *key)
+def _assign(df: DataFrame, strat: str, h: Column, counts: DataFrame, cuts: dict[str, dict], last: str):
     keys = df.select(F.col(strat).alias("_class"), h.alias("_h"))
-    found = _cut_hashes(keys, cuts)
+    found = _cut_hashes(keys, counts, cuts)
+    counts.unpersist()
     classes = list(next(iter(cuts.values())))
     ends = _per_class(
         keys, classes, **{f"_{name}": pa.array([found.get((name, c)) for c in classes], pa.string()) for name in cuts}
@@ -133,9 +150,11 @@ def stratified_split(
     ``key`` must identify a row. ``labels`` gives the class order that breaks
     ties between equal remainders; without it classes are sorted by value.
     """
-    counts = stratum_counts(df, strat, labels)
+    h = hash_hex(seed, "split", *_keys(key))
+    buckets = bucket_counts(df, strat, h)
+    counts = stratum_counts(buckets, labels)
     train = dict(zip(counts, two_way(list(counts.values()), Decimal(test_size))))
-    return _assign(df, strat, seed, _keys(key), {TRAIN: train}, TEST)
+    return _assign(df, strat, h, buckets, {TRAIN: train}, TEST)
 
 
 def train_val_test_split(
@@ -149,9 +168,11 @@ def train_val_test_split(
 ) -> DataFrame:
     """Add ``split`` in {train, validation, test}: ``held_out`` of the rows
     leave the training side, and ``test_share`` of those become the test."""
-    counts = stratum_counts(df, strat, labels)
+    h = hash_hex(seed, "split", *_keys(key))
+    buckets = bucket_counts(df, strat, h)
+    counts = stratum_counts(buckets, labels)
     train = dict(zip(counts, two_way(list(counts.values()), Decimal(held_out))))
     rest = {c: counts[c] - train[c] for c in counts}
     validation = dict(zip(rest, two_way(list(rest.values()), Decimal(test_share))))
     upto = {c: train[c] + validation[c] for c in counts}
-    return _assign(df, strat, seed, _keys(key), {TRAIN: train, VALIDATION: upto}, TEST)
+    return _assign(df, strat, h, buckets, {TRAIN: train, VALIDATION: upto}, TEST)

@@ -6,8 +6,9 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketflow.fixed_values import SEED
+from ticketflow.fixed_values import LABELS, SEED
 from ticketflow.operators import fit, labels, metrics, runs, score, synth
 from ticketflow.operators.split import TEST, TRAIN, VALIDATION
 from ticketflow.plans.training import evaluated, store_splits
@@ -27,15 +28,25 @@ def prepare(spark: SparkSession, folder: str, scale: int = 1, seed: int = SEED)
     return spark.read.parquet(f"{folder}/splits")
 
 
-def prepare_from(df: DataFrame, folder: str, seed: int = SEED) -> DataFrame:
-    """The same for a ticket table that exists."""
+def prepare_from(df: DataFrame, folder: str, seed: int = SEED, csv: bool = False) -> DataFrame:
+    """The same for a ticket table that exists; ``csv`` stores the splits as
+    CSV, too."""
     store_splits(df.select(*TICKET.names), f"{folder}/splits", seed=seed)
-    return df.sparkSession.read.parquet(f"{folder}/splits")
+    stored = df.sparkSession.read.parquet(f"{folder}/splits")
+    if csv:
+        files.write_splits(stored, f"{folder}/splits_csv", "csv")
+    return stored
+
+
+def class_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """F1 of each class, by method, from the stored class reports."""
+    reports = spark.read.parquet(f"{folder}/reports/classes").filter(F.col("row").isin(*LABELS))
+    return reports.groupBy("row").pivot("method", list(METHODS)).agg(F.first("f1")).orderBy("row")
 
 
 def train(spark: SparkSession, folder: str, method: str = "full", seed: int = SEED) -> DataFrame:
-    """Fit on the stored splits, store the model, append and return its run
-    record. The full fit is class-weighted, the compact one is not."""
+    """Fit on the stored splits; store the model, its history, and class report
+    and confusion matrix of the test rows; append and return its run record. The full fit is class-weighted, the compact one is not."""
     parts = {name: files.read_split(spark, f"{folder}/splits", name) for name in (TRAIN, VALIDATION, TEST)}
     cfg = replace(METHODS[method], seed=seed)
     if method == "full":
@@ -43,27 +54,38 @@ def train(spark: SparkSession, folder: str, method: str = "full", seed: int = SE
     else:
         result = fit.fit_compact(parts[TRAIN], parts[VALIDATION], cfg)
     run_files.save_model(result.model, f"{folder}/models/{method}")
+    result.history_frame(spark, method).write.mode("overwrite").parquet(f"{folder}/history/{method}")
+    pairs = metrics.confusion(score.score(result.model, parts[TEST]).withColumnRenamed("category", "truth"))
+    reports = {"classes": metrics.class_report(pairs), "confusion": metrics.confusion_matrix(pairs, LABELS)}
+    for name, report in reports.items():
+        report.write.mode("overwrite").parquet(f"{folder}/reports/{name}/method={method}")
     record = evaluated(result, parts[TEST], "hashed tokens", method)
     run_files.append_run(record, f"{folder}/runs")
     return record
 
 
-def automate(spark: SparkSession, folder: str, method: str = "full") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Score the stored test split and store the rows by decision; returns
+def automate(
+    spark: SparkSession, folder: str, method: str = "full", csv: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Score the stored test split and store the rows by decision, also as one
+    CSV table if asked for; returns
     automation summary, confidence statistics and savings."""
     test = files.read_split(spark, f"{folder}/splits", TEST)
     scored = score.score(run_files.load_model(f"{folder}/models/{method}"), test)
     files.write_routed(scored, f"{folder}/scored")
+    if csv:
+        files.write_scored(scored, f"{folder}/scored_csv")
     stored = spark.read.parquet(f"{folder}/scored")
     summary = metrics.automation_summary(stored)
     return summary, metrics.confidence_stats(stored), runs.roi(summary)
 
 
 def new_examples(spark: SparkSession, folder: str, method: str = "full") -> tuple[DataFrame, DataFrame]:
-    """Error summary and error rows of the inline examples."""
+    """Error summary and all inline examples, each OK or ERROR."""
     model = run_files.load_model(f"{folder}/models/{method}")
     scored = score.score(model, files.inline_examples(spark)).withColumnRenamed("expected", "truth")
-    return metrics.error_summary(metrics.confusion(scored)), metrics.errors(scored)
+    rows = metrics.flag_errors(scored).select("text", "truth", "prediction", "confidence", "status")
+    return metrics.error_summary(metrics.confusion(scored)), rows
 
 
 def predict(spark: SparkSession, folder: str, texts: list[str], method: str = "full") -> DataFrame:

@@ -10,7 +10,7 @@ from ticketflow.fixed_values import DEMO_TEXTS, NEW_EXAMPLES
 from ticketflow.schema import SCORED, TICKET
 
 # Quotes are doubled and may enclose line breaks.
-CSV_READ = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
+CSV_READ = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 CSV_WRITE = {
     "header": "true",
     "quote": '"',
@@ -24,13 +24,21 @@ CSV_ROWS_PER_FILE = 1_000_000
 
 
 def read_tickets(
-    spark: SparkSession, path: str | list[str], fmt: str = "csv", schema: T.StructType = TICKET
+    spark: SparkSession,
+    path: str | list[str],
+    fmt: str = "csv",
+    schema: T.StructType = TICKET,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A labelled table from CSV, Parquet, JSON or ORC, with the schema given
-    and not guessed. A list of paths reads several files as one table."""
+    and not guessed. A list of paths reads several files as one table.
+
+    A CSV file with quoted line breaks is read by one task; without them, say
+    ``multi_line=False``, and a large file is read in parts.
+    """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**CSV_READ)
+        reader = reader.options(**CSV_READ).option("multiLine", multi_line)
     return reader.format(fmt).load(path)
 
 
