@@ -2,7 +2,8 @@
 
 Groups of equal texts are atomic and stand in the order of their digest. The
 smallest capacity at which a greedy fill needs no more than the given number of
-shards is found by binary search. No list of all groups is needed for that: sizes
+shards is found by binary search with that greedy check; the cuts stay within it and are as even as
+it allows. No list of all groups is needed for that: sizes
 are summed by digest prefix, and only prefixes in which a cut could still lie
 are summed again by longer ones, until those hold single groups.
 
@@ -12,7 +13,7 @@ lessen it; the capacity is then sought for the rest, over the shards left.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -71,6 +72,26 @@ def _fill(blocks: list[Block], capacity: int, shards: int) -> list[int] | None:
     return starts
 
 
+def _even(blocks: list[Block], capacity: int, shards: int) -> list[int]:
+    """As _fill, but a shard ends where it is nearest to an even share of what is left, or as soon
+    after as the rest still fits: no shard exceeds the capacity, and the last is not left short."""
+    upto = [0, *accumulate(b.size for b in blocks)]
+    starts, at = [], 0
+    for left in range(shards, 1, -1):
+        if at == len(blocks):
+            break
+        share = upto[at] + (upto[-1] - upto[at]) / left
+        last = bisect_right(upto, upto[at] + capacity) - 1  # where the greedy fill ends
+        end = bisect_right(upto, share) - 1
+        end = min(last, end + (end < len(blocks) and upto[end + 1] - share < share - upto[end]))
+        end = max(end, at + 1)
+        # the later the end, the more surely the rest fits; after the greedy end it does
+        at = end + bisect_left(range(end, last), True, key=lambda e: _fill(blocks[e:], capacity, left - 1) is not None)
+        if at < len(blocks):
+            starts.append(at)
+    return starts
+
+
 def _smallest(blocks: list[Block], shards: int, low: int) -> int:
     high = max(low, sum(b.size for b in blocks))
     while low < high:
@@ -119,7 +140,7 @@ def capacity_and_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         high = _smallest(blocks, shards, low)
         opened = _undecided(blocks, low, high, shards) if high > low else set()
         if not opened:
-            return high, [blocks[i].prefix for i in _fill(blocks, high, shards)]
+            return high, [blocks[i].prefix for i in _even(blocks, high, shards)]
         digits = min(DIGITS, digits + STEP)
         finer = _blocks(_within(groups, opened), digits)
         blocks = sorted([b for b in blocks if b.prefix not in opened] + finer, key=lambda b: b.prefix)
