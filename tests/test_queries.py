@@ -14,7 +14,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    assert difference(spark, con, entry.queries()[name], SQL[name], FOLDER) is None
+    folder = FOLDER
+    if name.startswith("fitted_"):  # a floor on F1 says little about the 30 test rows there
+        folder = "/root/testdata/sf0.01"
+        con = connect(folder)
+    assert difference(spark, con, entry.queries()[name], SQL[name], folder) is None
 
 
 def test_every_sql_has_a_query():
