@@ -43,6 +43,13 @@ def test_drop_copies(odd, none):
     assert exact.drop_copies(none).count() == exact.exact_groups(none).count() == 0
 
 
+def test_drop_copies_of_one_row_many_times(spark):
+    docs = spark.range(9_000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "if(id % 3 = 0, 'same', concat('t', id)) AS text", "id AS row")
+    left = exact.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert left.count() == 6_001 and left.filter("text = 'same'").count() == 1
+
+
 def naive(text, shingle=3):
     words = "".join(c.lower() if c.isascii() else c for c in text or "")
     words = [w for w in words.encode().split()]

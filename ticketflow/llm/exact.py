@@ -10,7 +10,7 @@ so no round has a task for all records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.llm import tables
@@ -90,7 +90,6 @@ def drop_copies(docs: DataFrame, runs: int = RUNS, fan: int = FAN, largest: bool
     )
     here = texts["doc.doc_id"].eqNullSafe(kept["id"]) & (texts["digest"] == kept["digest"])
     left = texts.join(kept, here, "left_semi")
-    if repeated:
-        one = Window.partitionBy("doc.doc_id", "digest").orderBy("digest")
-        left = left.withColumn("copy", F.row_number().over(one)).filter("copy = 1")
+    if repeated:  # combined before the shuffle, so one id with a third of the rows is one row per task
+        left = left.groupBy(F.col("doc.doc_id").alias("id"), "digest").agg(F.any_value("doc").alias("doc"))
     return left.select("doc.*")
