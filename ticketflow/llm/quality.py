@@ -1,8 +1,9 @@
 """Quality from compression: which dictionary, of good or of bad texts, suits a text better.
 
-A text is cut into chunks, all of them are compressed with either dictionary, and the
-difference of the two sizes over their sum, through a logistic curve fitted on rows that no
-dictionary was made from, is the score.
+A text is cut into chunks, and all of them are compressed with either dictionary. The
+difference of the two sizes, over their sum and over the text's own, goes through a logistic
+curve fitted on rows that no dictionary was made from; that is the score. The curve also sees how far the
+text shrinks at all: a text of one repeated word shrinks to so few bytes that their difference says nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ticketflow.llm import tables, words
 FIT_ROWS, FIT_BYTES = 2_000, 32_000_000
 #: Bytes of a dictionary and of a chunk; level of compression.
 DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 65_536, 2_048, 3
+#: Weight of the curve's squared slopes.
+RIDGE = 0.1
 
 
 def remainder(modulus: int) -> Column:
@@ -36,32 +39,37 @@ def chunks(text: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Two dictionaries, as bytes, and the curve: score = 1 / (1 + exp(-(shift + slope * x)))."""
+    """Two dictionaries, as bytes, and the curve: score = 1 / (1 + exp(-(shift + slopes . x)))."""
 
     good: bytes
     bad: bytes
     shift: float = 0.0
-    slope: float = 0.0
+    slopes: tuple[float, ...] = (0.0, 0.0, 0.0)
 
     def measure(self, texts: list[bytes]) -> np.ndarray:
-        """Size with the bad dictionary less size with the good one, over both; 0 for an empty text."""
+        """Three figures of each text, 0 for an empty one: size with the bad dictionary less size with
+        the good one, over both; the logarithm of the mean size over the text's own, 0 at most; the
+        difference over twice the text's own size."""
+        out = np.zeros((len(texts), 3))
         if not self.good or not self.bad:
-            return np.zeros(len(texts))
+            return out
         good, bad = (
             zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(d), write_content_size=False, write_dict_id=False)
             for d in (self.good, self.bad)
         )
-        out = np.zeros(len(texts))
         for i, text in enumerate(texts):
+            if not text:
+                continue
             a = b = 0
             for chunk in chunks(text):
                 a += len(good.compress(chunk))
                 b += len(bad.compress(chunk))
-            out[i] = (b - a) / (a + b) if a + b else 0.0
+            own = 2 * len(text)
+            out[i] = (b - a) / (a + b), min(0.0, math.log((a + b) / own)), (b - a) / own
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.shift + self.slope * self.measure(texts), -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.shift + self.measure(texts) @ np.array(self.slopes), -500, 500)))
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
@@ -103,31 +111,35 @@ def fit_texts(texts: list[bytes], labels: list[int]) -> Model:
     x = np.concatenate([model.measure(second[k]) for k in (0, 1)])
     y = np.repeat([0.0, 1.0], [len(second[0]), len(second[1])])
     # labels of the curve are as frequent as they are in the rows that were sampled for it
-    model.shift, model.slope = _logistic(x, y)
+    model.shift, model.slopes = _logistic(x, y)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Shift and slope by Newton's method, on x in units of its spread, with a small ridge."""
-    unit = float(x.std()) or 1.0
-    design = np.stack([np.ones_like(x), x / unit], axis=1)
-    weights = np.zeros(2)
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
+    """Shift and slopes by Newton's method, on the columns of x in units of their spread, with a small ridge."""
+    mean, unit = x.mean(axis=0), x.std(axis=0)
+    unit[unit == 0] = 1.0
+    design = np.column_stack([np.ones(len(x)), (x - mean) / unit])
+    ridge = RIDGE * np.diag([0.0] + [1.0] * x.shape[1]) + 1e-9 * np.eye(x.shape[1] + 1)
+    weights = np.zeros(design.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        slope = design.T @ (y - p) - 1e-2 * weights
-        curve = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
+        slope = design.T @ (y - p) - ridge @ weights
+        curve = design.T @ (design * (p * (1 - p))[:, None]) + ridge
         step = np.linalg.solve(curve, slope)
-        weights += np.clip(step, -5, 5)
+        weights += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
             break
-    return float(weights[0]), float(weights[1] / unit)
+    slopes = weights[1:] / unit
+    return float(weights[0] - slopes @ mean), tuple(slopes.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
     """A model from a bounded sample of the labelled rows that are not held out.
 
     Of each label the `rows` ids with the smallest hashes, and of these the first whose whole texts are `size`
-    bytes together. A doc_id that is null, or has two labels, is no example; nor is a label other than 0 and 1.
+    bytes together. A doc_id that is null, or has two labels, is no example; nor is a label other than 0 and 1,
+    or a text of more than `size` bytes. Of rows that repeat an id, the one with the smallest text is taken.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(remainder(3) != 1)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
@@ -135,19 +147,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FI
     ids = [known.filter(F.col("quality") == q).orderBy("nth", "id").limit(rows) for q in (0, 1)]
     some = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * rows ids
     texts = docs.select(F.col("doc_id").alias("doc"), tables.text_of().alias("text"))
-    found = texts.join(some, F.col("doc") == F.col("id")).select("quality", "nth", "id", "text", F.octet_length("text").alias("bytes"))
-    found = tables.stored(found, "examples")
+    found = texts.join(some, F.col("doc") == F.col("id")).filter(F.octet_length("text") <= size)
+    found = found.groupBy("quality", "nth", "id").agg(F.min("text").alias("text"))
+    found = tables.stored(found.withColumn("bytes", F.octet_length("text")), "examples")
     order = sorted(found.select("nth", "id", "bytes").collect())
     total, last = 0, None
     for nth, id_, n in order:
         total += n
-        if total > size and last is not None:
+        if total > size:
             break
         last = (nth, id_)
     if last is None:
         return fit_texts([], [])
     upto = F.struct("nth", "id") <= F.struct(F.lit(last[0]).alias("nth"), F.lit(last[1]).alias("id"))
-    read = found.filter(upto).orderBy("nth", "id", "text").collect()
+    read = found.filter(upto).orderBy("nth", "id").collect()
     return fit_texts([r.text.encode() for r in read], [r.quality for r in read])
 
 
