@@ -104,6 +104,12 @@ def test_compact_fit(spark, splits):
     assert figures.f1_macro > 0.8
 
 
+def test_a_projection_too_large_for_the_driver_is_refused_before_any_job():
+    for features in (1 << 14, 16):
+        with pytest.raises(ValueError, match="features"):
+            fit.fit_compact(None, cfg=fit.FitConfig(features=features, components=32))
+
+
 def test_errors_on_new_examples(spark, full):
     scored = score.score(full.model, files.inline_examples(spark)).withColumnRenamed("expected", "truth")
     summary = metrics.error_summary(metrics.confusion(scored)).first()

@@ -37,10 +37,13 @@ class FitConfig:
     """A round adds ``iterations_per_round`` passes over the training rows.
     ``max_tokens`` None reads whole texts; a number keeps the first tokens of
     each, as a model with a fixed input length would. ``partitions`` spreads
-    training rows that lie in fewer pieces than the cluster has cores."""
+    training rows that lie in fewer pieces than the cluster has cores. A
+    projection is decomposed on the driver, so ``max_projected`` bounds the
+    features of one: 4,096 take 128 MB."""
 
     features: int = 1 << 14
     components: int | None = None
+    max_projected: int = 4_096
     max_tokens: int | None = None
     reg_param: float = 0.001
     rounds: int = ROUNDS
@@ -200,6 +203,8 @@ def fit_compact(
     """Fit a small unweighted head on a frozen low-dimensional projection."""
     if not cfg.components:
         raise ValueError("a compact fit needs components")
+    if not cfg.components <= cfg.features <= cfg.max_projected:
+        raise ValueError(f"a projection needs {cfg.components} to {cfg.max_projected} features, not {cfg.features}")
     return _fit(train, val, None, cfg, text, category)
 
 
