@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketflow.fixed_values import MONTHLY_COST, PATIENCE
@@ -21,28 +21,34 @@ COMPARED = (
 )
 
 
-def early_stop(history: DataFrame, patience: int = PATIENCE, run: str = "run_id", metric: str = "f1_macro"):
-    """``run, stop_epoch``: the first epoch that ends ``patience`` epochs in a
-    row without a strict improvement, else the last epoch of the run."""
+def _stale(history: DataFrame, run: str, metric: str) -> DataFrame:
+    """history with ``_stale``, the epochs since the last strict improvement."""
     in_run = Window.partitionBy(run).orderBy("epoch")
     before = in_run.rowsBetween(Window.unboundedPreceding, -1)
     upto = in_run.rowsBetween(Window.unboundedPreceding, 0)
     best = F.max(metric).over(before)
     improved = F.when(best.isNull() | (F.col(metric) > best), F.row_number().over(in_run))
     stale = F.row_number().over(in_run) - F.max("_improved").over(upto)
-    return (
-        history.withColumn("_improved", improved)
-        .withColumn("_stale", stale)
-        .groupBy(run)
-        .agg(F.coalesce(F.min(F.when(F.col("_stale") >= patience, F.col("epoch"))), F.max("epoch")).alias("stop_epoch"))
-    )
+    return history.withColumn("_improved", improved).withColumn("_stale", stale).drop("_improved")
+
+
+def _stop(patience: int) -> tuple[Column, Column]:
+    """Aggregates of a run: the first epoch with no patience left, and the last epoch."""
+    return F.min(F.when(F.col("_stale") >= patience, F.col("epoch"))), F.max("epoch")
+
+
+def early_stop(history: DataFrame, patience: int = PATIENCE, run: str = "run_id", metric: str = "f1_macro"):
+    """``run, stop_epoch``: the first epoch that ends ``patience`` epochs in a
+    row without a strict improvement, else the last epoch of the run."""
+    return _stale(history, run, metric).groupBy(run).agg(F.coalesce(*_stop(patience)).alias("stop_epoch"))
 
 
 def best_round(history: DataFrame, patience: int = PATIENCE, run: str = "run_id", metric: str = "f1_macro"):
     """``run, stop_epoch, best_epoch, metric``: the earliest best epoch among
-    those before the stop."""
-    seen = history.join(early_stop(history, patience, run, metric), run).filter("epoch <= stop_epoch")
+    those before the stop. The history is read and shuffled once."""
+    stop = F.coalesce(*[a.over(Window.partitionBy(run)) for a in _stop(patience)])
     best = F.max(F.struct(F.col(metric), (-F.col("epoch")).alias("_e"))).alias("_best")
+    seen = _stale(history, run, metric).withColumn("stop_epoch", stop).filter("epoch <= stop_epoch")
     return seen.groupBy(run, "stop_epoch").agg(best).select(
         run, "stop_epoch", (-F.col("_best._e")).alias("best_epoch"), F.col(f"_best.{metric}").alias(metric)
     )

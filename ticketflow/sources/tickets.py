@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ticketflow.fixed_values import DEMO_TEXTS, NEW_EXAMPLES
 from ticketflow.schema import SCORED, TICKET
 
-# Quotes are doubled and may enclose line breaks.
+# Quotes are doubled and may enclose line breaks.
 CSV_READ = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 CSV_WRITE = {
     "header": "true",
