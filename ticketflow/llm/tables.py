@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +41,33 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     on = F.col("row.doc_id").eqNullSafe(F.col("id"))
     return rows.join(ids.select("id"), on, "left_semi").select("row.*")
+
+
+def digest_of(column: str = "text") -> Column:
+    return F.unhex(F.sha2(text_of(column), 256))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each root of groups(id, digest, root), in the columns of docs: the smallest id, null last,
+    and of those the smallest digest; of rows that repeat both, one."""
+    claim = F.struct(F.col("id").isNull(), "id", "digest")
+    kept = stored(groups.groupBy("root").agg(F.min(claim).alias("keep")).select("keep.id", "keep.digest"), "kept")
+    repeated = groups.groupBy("id", "digest").count().filter("count > 1").limit(1).count() > 0
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest_of().alias("hash"))
+    here = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("digest"))
+    left = rows.join(kept, here, "left_semi")
+    if repeated:
+        left = left.groupBy(F.col("row.doc_id").alias("id"), "hash").agg(F.any_value("row").alias("row"))
+    return left.select("row.*")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Python gets so many rows at a time, for what is written meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
