@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ticketflow.llm import tables, words
 
-#: Bounds of the fit: labelled rows of either label, and bytes of their texts on the driver.
+#: Bounds of the fit: labelled rows of either label, and bytes of their texts on the driver, half of them for either label.
 FIT_ROWS, FIT_BYTES = 2_000, 32_000_000
+#: A longer text is an example by its first bytes, this part of its label's.
+EXAMPLE = 16
 #: Bytes of a dictionary and of a chunk; level of compression.
 DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 65_536, 2_048, 3
 #: Weight of the curve's squared slopes.
@@ -97,11 +99,13 @@ def _even(texts: list[bytes], size: int) -> list[bytes]:
     return kept
 
 
-def fit_texts(texts: list[bytes], labels: list[int]) -> Model:
+def fit_texts(texts: list[bytes], labels: list[int], counts: tuple[int, int] | None = None) -> Model:
     """A model from texts and labels: every second text of a label is for the dictionaries,
-    the others for the curve. One label alone gives a constant score."""
+    the others for the curve. One label alone gives a constant score. counts: of how many rows
+    with label 0 and 1 the texts are a sample; if not given, they are all rows."""
     by = {k: [t for t, y in zip(texts, labels) if y == k and t] for k in (0, 1)}
-    prior = math.log((sum(labels) + 1) / (len(labels) - sum(labels) + 1))
+    bad, good = counts or (len(labels) - sum(labels), sum(labels))
+    prior = math.log((good + 1) / (bad + 1))
     first = {k: v[::2] for k, v in by.items()}
     second = {k: v[1::2] for k, v in by.items()}
     if not all(first.values()) or not all(second.values()):
@@ -110,13 +114,14 @@ def fit_texts(texts: list[bytes], labels: list[int]) -> Model:
     model = Model(*(_train(_even(first[k], size), DICTIONARY_BYTES) for k in (1, 0)))
     x = np.concatenate([model.measure(second[k]) for k in (0, 1)])
     y = np.repeat([0.0, 1.0], [len(second[0]), len(second[1])])
-    # labels of the curve are as frequent as they are in the rows that were sampled for it
-    model.shift, model.slopes = _logistic(x, y)
+    # labels of the curve weigh as much as they do in all the rows, whatever the sample took of either
+    weight = np.repeat([n / (bad + good) * len(y) / len(second[k]) for k, n in enumerate((bad, good))], [len(second[0]), len(second[1])])
+    model.shift, model.slopes = _logistic(x, y, weight)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
-    """Shift and slopes by Newton's method, on the columns of x in units of their spread, with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, tuple[float, ...]]:
+    """Shift and slopes by Newton's method, on weighted rows and the columns of x in units of their spread, with a small ridge."""
     mean, unit = x.mean(axis=0), x.std(axis=0)
     unit[unit == 0] = 1.0
     design = np.column_stack([np.ones(len(x)), (x - mean) / unit])
@@ -124,8 +129,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
     weights = np.zeros(design.shape[1])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        slope = design.T @ (y - p) - ridge @ weights
-        curve = design.T @ (design * (p * (1 - p))[:, None]) + ridge
+        slope = design.T @ (weight * (y - p)) - ridge @ weights
+        curve = design.T @ (design * (weight * p * (1 - p))[:, None]) + ridge
         step = np.linalg.solve(curve, slope)
         weights += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
@@ -137,31 +142,34 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
     """A model from a bounded sample of the labelled rows that are not held out.
 
-    Of each label the `rows` ids with the smallest hashes, and of these the first whose whole texts are `size`
-    bytes together. A doc_id that is null, or has two labels, is no example; nor is a label other than 0 and 1,
-    or a text of more than `size` bytes. Of rows that repeat an id, the one with the smallest text is taken.
+    Of each label the `rows` ids with the smallest hashes, and of these, in that order, all whose examples fit in
+    half of `size` bytes together; one that does not fit is passed over. An example is the text, or the first bytes
+    of a long one. Both labels weigh as in all usable rows. A doc_id that is null, or has two labels, is no example;
+    nor is a label other than 0 and 1, or a text of more than `size` bytes. Of rows that repeat an id, the one
+    with the smallest text is taken.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(remainder(3) != 1)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     known = known.filter("quality = other").select(F.col("doc_id").alias("id"), "quality", F.xxhash64("doc_id").alias("nth"))
+    texts = docs.select(F.col("doc_id").alias("doc"), tables.text_of().alias("text")).filter(F.octet_length("text") <= size)
+    known = tables.stored(known.join(texts.select("doc").distinct(), F.col("id") == F.col("doc"), "left_semi"), "usable")
+    counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     ids = [known.filter(F.col("quality") == q).orderBy("nth", "id").limit(rows) for q in (0, 1)]
     some = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * rows ids
-    texts = docs.select(F.col("doc_id").alias("doc"), tables.text_of().alias("text"))
-    found = texts.join(some, F.col("doc") == F.col("id")).filter(F.octet_length("text") <= size)
-    found = found.groupBy("quality", "nth", "id").agg(F.min("text").alias("text"))
-    found = tables.stored(found.withColumn("bytes", F.octet_length("text")), "examples")
-    order = sorted(found.select("nth", "id", "bytes").collect())
-    total, last = 0, None
-    for nth, id_, n in order:
-        total += n
-        if total > size:
-            break
-        last = (nth, id_)
-    if last is None:
+    most = size // 2
+    found = texts.join(some, F.col("doc") == F.col("id")).groupBy("quality", "nth", "id").agg(F.min("text").alias("text"))
+    part = F.substring(F.encode("text", "utf-8"), 1, max(1, most // EXAMPLE)).alias("example")
+    found = tables.stored(found.select("quality", "nth", "id", part), "examples")
+    left, fits = {0: most, 1: most}, []
+    for q, nth, id_, n in sorted(found.select("quality", "nth", "id", F.octet_length("example")).collect(), key=lambda r: r[1:3]):
+        if n <= left[q]:
+            left[q] -= n
+            fits.append((id_,))
+    if not fits:
         return fit_texts([], [])
-    upto = F.struct("nth", "id") <= F.struct(F.lit(last[0]).alias("nth"), F.lit(last[1]).alias("id"))
-    read = found.filter(upto).orderBy("nth", "id").collect()
-    return fit_texts([r.text.encode() for r in read], [r.quality for r in read])
+    fits = found.sparkSession.createDataFrame(fits, found.select("id").schema)
+    read = found.join(F.broadcast(fits), "id").orderBy("nth", "id").collect()
+    return fit_texts([bytes(r.example) for r in read], [r.quality for r in read], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def _scored(df: DataFrame, model: Model) -> DataFrame:
