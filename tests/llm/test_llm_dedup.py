@@ -82,9 +82,24 @@ def test_near_groups(odd, none):
     assert sorted(r.fp % 2**64 for r in found) == texts
     assert [r.component for r in found] == groups([(r.id, r.fp % 2**64) for r in found], 2)
     assert simhash.near_groups(none).count() == 0
+
+
+def test_one_of_each(odd, none, spark):
     left = simhash.one_of_each(odd)
-    assert left.columns == odd.columns and left.count() < odd.count()
+    assert left.columns == odd.columns
+    rows = odd.collect()
+    fps = [naive(r.text) for r in rows]
+    names = groups(list(enumerate(fps)), 2)
+    by = defaultdict(list)
+    for r, name in zip(rows, names):
+        by[name].append((r.doc_id is None, r.doc_id or 0, sha256((r.text or "").encode()).digest()))
+    got = [(r.doc_id is None, r.doc_id or 0, sha256((r.text or "").encode()).digest()) for r in left.collect()]
+    assert sorted(got) == sorted(min(x) for x in by.values())
     assert simhash.one_of_each(none).count() == 0
+    # one id, null too, with unlike texts: each of its own group stays, near copies go
+    texts = ["a b c d", "A b c d", "other words are here", "e f g h i", "E F g h i"]
+    docs = spark.createDataFrame([(None if i < 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert simhash.one_of_each(docs).count() == 3
 
 
 def test_links_span_all_pairs(spark):

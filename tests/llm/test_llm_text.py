@@ -297,3 +297,17 @@ def test_pipeline(spark):
     firsts = Counter(r.doc_id for r in got if r.piece == 0)
     assert firsts == Counter({i: n for i, n in copies.items() if n})
     assert len(corpus_pipeline.STAGES) == 5 and exact.drop_copies(docs).columns == docs.columns
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("none", none)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        # without labels nothing is rejected: pieces come of the texts that stay
+        left = simhash.one_of_each(exact.drop_copies(docs))
+        copies = {(r.id, r.copies) for r in mixing.mix_plan(left).collect() if r.copies}
+        assert sorted({r.doc_id for r in got}, key=str) == sorted({i for i, _ in copies}, key=str)

@@ -52,17 +52,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row: id, fp (the fingerprint as a signed long). Null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """Per row: id, fp (the fingerprint as a signed long), and on request the digest of the text.
+
+    Null text counts as empty."""
+    kept = ["id", "digest"] if digest else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in words.slices(whole):
                 found = [fingerprint((t or "").encode(), shingle) for t in batch.column("text").to_pylist()]
                 signed = np.array(found, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(signed)], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(signed)], [*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), *([tables.digest_of().alias("digest")] if digest else []), "text")
+    return rows.mapInArrow(run, "id long, digest binary, fp long" if digest else "id long, fp long")
 
 
 # The tree
@@ -224,6 +228,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def rooted(rows: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """rows(id, fp) to one row per distinct fingerprint: fp, first (its smallest id), root (equal for those that links connect)."""
+    firsts = tables.stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    roots = components(links(firsts.select("fp"), radius, leaf))
+    joined = firsts.join(roots, firsts["fp"] == roots["node"], "left")
+    return tables.stored(joined.select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """Per row of docs: id, fp, component (the smallest doc_id reachable by links, its own included).
 
@@ -232,10 +244,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, l
     fingerprints count as linked. An empty table gives an empty result.
     """
     rows = tables.stored(fingerprints(docs, shingle), "fingerprints")
-    firsts = tables.stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(links(firsts.select("fp"), radius, leaf))
-    joined = firsts.join(roots, firsts["fp"] == roots["node"], "left")
-    joined = tables.stored(joined.select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    joined = rooted(rows, radius, leaf)
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     named = joined.join(least, "root").select("fp", "component")
     return rows.join(named, "fp").select("id", "fp", "component")
@@ -244,7 +253,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, l
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group, the one with the smallest doc_id, in all its columns.
 
-    Rows are told apart by doc_id: rows that repeat one are kept or dropped together.
+    A null id is larger than all; of rows with one id, the text with the smallest digest stays,
+    and of rows that repeat both, one. Null and empty texts are one group. An empty table gives an empty result.
     """
-    groups = near_groups(docs, shingle, radius)
-    return tables.keep_ids(docs, tables.stored(groups.filter(F.col("id").eqNullSafe(F.col("component"))), "kept"))
+    rows = tables.stored(fingerprints(docs, shingle, digest=True), "fingerprints")
+    roots = rooted(rows, radius).select("fp", "root")
+    return tables.keep_first(docs, rows.join(roots, "fp").select("id", "digest", "root"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +33,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids(id), null among them, in the columns of docs."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    on = F.col("row.doc_id").eqNullSafe(F.col("id"))
-    return rows.join(ids.select("id"), on, "left_semi").select("row.*")
-
-
 def digest_of(column: str = "text") -> Column:
     return F.unhex(F.sha2(text_of(column), 256))
 
@@ -59,15 +49,3 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     if repeated:
         left = left.groupBy(F.col("row.doc_id").alias("id"), "hash").agg(F.any_value("row").alias("row"))
     return left.select("row.*")
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """Python gets so many rows at a time, for what is written meanwhile."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
