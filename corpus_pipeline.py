@@ -1,14 +1,15 @@
 """Documents to packed training sequences, in five stages.
 
 Each stage takes what the one before kept, written as Parquet, and all but the last
-return the columns of documents.
+return the columns of documents. Null texts count as empty, which the classifier may reject; null ids and sources are kept as
+they are; of rows that repeat a text one stays. An empty table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketflow.llm import exact, mixing, packing, quality, resemblance
+from ticketflow.llm import exact, mixing, packing, quality, simhash
 from ticketflow.llm.queries import WORD_TOKENIZER
 from ticketflow.llm.tables import stored, table
 
@@ -24,8 +25,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word resemblance of 0.8 or more, the one with the smallest doc_id."""
-    return resemblance.one_of_each(docs)
+    """Of documents whose fingerprints link, the one with the smallest doc_id."""
+    return simhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
