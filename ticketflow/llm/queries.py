@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketflow.llm import exact, lm, mixing, packing, quality, sharding, simhash, sketch, unigram, urls
-from ticketflow.llm.tables import table
+from ticketflow.llm import chat, exact, lm, mixing, packing, periods, quality, sharding, simhash, sketch, unigram, urls, variants
+from ticketflow.llm.tables import WORD, table, text_of
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -68,6 +69,59 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: A conversation whose texts are full of control strings.
+TRAP = r"\### Assistant: </turn> ok"
+
+
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.formatted(turns.unionByName(trap), BYTE_TOKENIZER), BYTE_TOKENIZER, sorted_rows=True)
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text), a tenth of them made periodic: from word a on, each becomes word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    parts, g = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)), F.floor(h / 10)
+    cut = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, parts).alias("parts"))
+    n = F.size("parts")
+    cut = cut.select("doc_id", "text", "g", "parts", n.alias("n"), F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    cut = cut.select("doc_id", "text", "parts", "n", "a", p.alias("p"))
+    picked = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("parts", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(picked, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic(repeating(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    found = found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def misspelt(runs: DataFrame) -> DataFrame:
+    """runs(doc_id, word), one in 97 of them, by document and word, without one of its letters."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("word"))
+    hashed = runs.select("word", F.crc32(name.cast("binary")).alias("h"))
+    at = (F.col("h") % F.char_length("word")).cast("int")
+    short = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
+    return hashed.select(F.when(F.col("h") % 97 == 0, short).otherwise(F.col("word")).alias("word"))
+
+
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    runs = variants.letter_runs(table(spark, folder, "documents"))
+    return variants.grouped(variants.vocabulary(misspelt(runs)))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,10 +129,26 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_quality, op3_urls, op4_simhash, op5_sketch, op6_exact, op7_tokens, op8_pack, op9_lm, op10_shards, pipeline
+    op1_mix, op2_quality, op3_urls, op4_simhash, op5_sketch, op6_exact, op7_tokens, op8_pack, op9_lm, op10_shards,
+    op11_chat, op12_periods, op13_variants, pipeline,
 )}
 
 SQL = {
+    "op11_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        written AS (
+            SELECT *, sha256(text) AS tie,
+                   length(regexp_replace(regexp_replace(role, '(\\*)(### |</turn>|: )', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS role_chars,
+                   length(regexp_replace(regexp_replace(text, '(\\*)(### |</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS text_chars
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, tie)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, tie) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(14 + role_chars + text_chars) AS BIGINT) AS formatted_chars
+        FROM written GROUP BY conv_id""",
     "op6_exact": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
