@@ -124,45 +124,66 @@ def leaked_rows(df: DataFrame, text: str = "text", split: str = "split", train:
     return df.filter(F.col(split) != train).withColumn("_t", text_key(text)).join(seen, "_t", "left_semi").drop("_t")
 
 
+#: Bits per key in the filter of contained_items(), and the most it takes: 1 MB in every task.
+FILTER_SHARE, FILTER_BITS = 64, 1 << 23
+
+
+def _key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """One row, one array: bit ``h mod bits`` of it is 1 if a key ``_h`` is there; and the number of bits."""
+    n = keys.count()
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (FILTER_SHARE * max(n, 1) - 1).bit_length()))
+    at = F.pmod("_h", F.lit(bits))
+    words = keys.groupBy(F.floor(at / 64).cast("int").alias("_i")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("_b")
+    )
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("_i")).join(words, "_i", "left")
+    rows = F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_b", F.lit(0)).cast("long").alias("_b"))))
+    return every.agg(F.transform(rows, lambda r: r["_b"]).alias("_f")), bits
+
+
 def contained_items(
     items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", text: str = "text", width: int = 5
 ) -> DataFrame:
     """``item, doc`` of each item whose tokens stand in a row, whole, in a document.
 
-    Candidates share the item's first ``width`` tokens (all of a shorter one);
-    the whole item is then looked for in each. Items without tokens are in none.
+    Candidates share the item's first ``width`` tokens (all of a shorter one) by their 64-bit hash; the
+    whole item is then looked for at that place. Windows of a document are hashed where it lies and first asked of a filter of the
+    items' hashes, so only places that may begin an item leave it, each with the text that follows. Items without tokens are in none. Rows of
+    docs that share a doc, null too, are looked at each.
     """
-    words = items.select(F.col(item).alias("_item"), tokens(text).alias("_w")).filter("size(_w) > 0")
+    words = items.select(F.col(item).alias("_item"), tokens(text).alias("_iw")).filter("size(_iw) > 0")
     keyed = words.select(
-        "_item",
-        F.array_join("_w", " ").alias("_line"),
-        F.least(F.size("_w"), F.lit(width)).alias("_k"),
-        F.array_join(F.slice("_w", 1, width), " ").alias("_key"),
-    )
-    # at most `width` different lengths
-    lengths = [r[0] for r in keyed.select("_k").distinct().collect()] or [width]
-    toks = docs.select(F.col(doc).alias("_doc"), tokens(text).alias("_w"))
-    starts = [F.struct(F.lit(k).alias("k"), F.greatest(F.size("_w") - k + 1, F.lit(0)).alias("n")) for k in lengths]
-    parts = F.flatten(
-        F.transform(
-            F.array(*starts),
-            lambda s: F.transform(
-                F.when(s["n"] > 0, F.sequence(F.lit(1), s["n"])).otherwise(F.array().cast("array<int>")),
-                lambda i: F.array_join(F.slice("_w", i, s["k"]), " "),
-            ),
-        )
-    )
-    shared = toks.select("_doc", F.explode(F.array_distinct(parts)).alias("_key")).join(keyed.select("_item", "_key"), "_key")
-    pairs = shared.select("_doc", "_item").distinct()
-    lines = docs.select(F.col(doc).alias("_doc"), F.array_join(tokens(text), " ").alias("_in"))
-    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return (
-        pairs.join(keyed.select("_item", "_line"), "_item")
-        .join(lines, "_doc")
-        .filter(F.contains(padded("_in"), padded("_line")))
-        .select(F.col("_item").alias(item), F.col("_doc").alias(doc))
-        .distinct()
+        "_item", "_iw", F.least(F.size("_iw"), F.lit(width)).alias("_k"), F.xxhash64(F.slice("_iw", 1, width)).alias("_h")
     )
+    # at most `width` different lengths, and the longest item
+    sizes = keyed.agg(F.collect_set("_k").alias("k"), F.max(F.size("_iw")).alias("most")).first()
+    lengths, most = sorted(sizes.k) or [width], sizes.most or width
+    begin = keyed.select(F.xxhash64(F.get("_iw", F.lit(0))).alias("_h"))
+    flags, bits = _key_filter(keyed.select("_h").unionByName(begin).distinct())
+
+    def known(h: F.Column) -> F.Column:
+        at = F.pmod(h, F.lit(bits))
+        word = F.get("_f", F.floor(at / 64).cast("int"))
+        return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    # places of a first token of an item; only these are hashed with what follows
+    every = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"))).otherwise(F.array().cast("array<int>"))
+    places = F.filter(every, lambda i: known(F.xxhash64(F.get("_w", i - 1))))
+
+    def starts(k: int) -> F.Column:
+        room = F.filter("_places", lambda i: i <= F.size("_w") - k + 1)
+        hashed = F.transform(room, lambda i: F.struct(F.xxhash64(F.slice("_w", i, k)).alias("h"), i.alias("i")))
+        return F.filter(hashed, lambda x: known(x["h"]))
+
+    # a generator of one row: its output is a column that is not computed again for every window
+    once = F.inline(F.array(F.struct(tokens(text).alias("_w"), F.col("_f"))))
+    toks = docs.withColumn("_f", flags.scalar()).select(F.col(doc).alias("_doc"), once)
+    toks = toks.select("_doc", F.inline(F.array(F.struct("_w", "_f", places.alias("_places")))))
+    found = toks.select("_doc", "_w", F.flatten(F.array(*[starts(k) for k in lengths])).alias("_at")).filter("size(_at) > 0")
+    begun = found.select("_doc", F.explode(F.transform("_at", lambda a: F.struct(a["h"].alias("_h"), F.slice("_w", a["i"], most).alias("_next")))).alias("_p"))
+    met = begun.select("_doc", "_p._h", "_p._next").join(keyed, "_h")
+    whole = met.filter(F.slice("_next", F.lit(1), F.size("_iw")) == F.col("_iw"))
+    return whole.select(F.col("_item").alias(item), F.col("_doc").alias(doc)).distinct()
 
 
 def conflicting_labels(df: DataFrame, text: str = "text", category: str = "category") -> DataFrame:

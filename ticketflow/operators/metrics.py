@@ -118,32 +118,29 @@ def class_report(pairs: DataFrame, labels: Labels = "present") -> DataFrame:
     """``row, precision, recall, f1, support``: the classes, then accuracy (in
     the f1 column), macro avg and support-weighted avg.
 
-    The class rows, one per label, are gathered once, so the averages do not
-    read the predictions again.
+    One rollup over the class rows gives each of them and the total that the averages come from, so
+    no task holds all classes and the predictions are read once.
     """
-    per_class = class_metrics(pairs, labels)
     parts = ("precision", "recall", "f1")
-    null, n = F.lit(None).cast("double"), F.sum("support")
-
-    def line(name, precision, recall, f1, support):
-        return F.struct(
-            name.alias("row"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            support.alias("support"),
-        )
-
-    classes = F.collect_list(line(F.col("label").cast("string"), *[F.col(c) for c in (*parts, "support")]))
-    weighted = [_ratio(F.sum(F.col(c) * F.col("support")), n) for c in parts]
-    overall = _ratio(F.sum("tp"), n)
-    gathered = per_class.agg(
-        classes.alias("_rows"),
-        line(F.lit("accuracy"), null, null, overall, n).alias("_accuracy"),
-        line(F.lit("macro avg"), *[F.avg(c) for c in parts], n).alias("_macro"),
-        line(F.lit("weighted avg"), *weighted, n).alias("_weighted"),
-    )
-    return gathered.select(F.inline(F.concat("_rows", F.array("_accuracy", "_macro", "_weighted"))))
+    null, n = F.lit(None).cast("double"), F.col("support")
+    sums = [F.sum(c).alias(c) for c in ("support", "tp")]
+    means = [F.avg(c).alias(c) for c in parts]
+    weighted = [_ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"_{c}") for c in parts]
+    rolled = class_metrics(pairs, labels).rollup("label").agg(F.grouping("label").alias("_total"), *sums, *means, *weighted)
+
+    def line(name, precision, recall, f1):
+        values = zip(("row", *parts, "support"), (name, precision, recall, f1, n))
+        return F.struct(*[v.alias(k) for k, v in values])
+
+    own = [F.col(c) for c in parts]
+    overall = F.when(n.isNotNull(), _ratio(F.col("tp"), n))
+    totals = [
+        line(F.lit("accuracy"), null, null, overall),
+        line(F.lit("macro avg"), *own),
+        line(F.lit("weighted avg"), *[F.col(f"_{c}") for c in parts]),
+    ]
+    lines = F.when(F.col("_total") == 1, F.array(*totals)).otherwise(F.array(line(F.col("label").cast("string"), *own)))
+    return rolled.select(F.inline(lines))
 
 
 def named_metrics(pairs: DataFrame, expressions: dict[str, Column]) -> DataFrame:

@@ -7,12 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketflow.fixed_values import BATCH_SIZE, LABELS, THRESHOLD
 from ticketflow.functions import scores
+from ticketflow.operators.calibrate import RAW, calibrated
 
 
 def decide(
@@ -56,10 +58,16 @@ def score(
     threshold: float = THRESHOLD,
     inclusive: bool = False,
     keep_probs: bool = False,
+    calibration: IsotonicRegressionModel | None = None,
 ) -> DataFrame:
     """Add ``prediction, confidence, decision`` to a table or a stream, of one
-    row or of many."""
+    row or of many. With a ``calibration`` the confidence is the calibrated one, which decides, and the
+    model's own is kept as ``raw_confidence``."""
+    if calibration is not None and RAW in df.columns:
+        raise ValueError(f"rename {RAW} before scoring")
     out = decide(with_probabilities(model, df, text), model_labels(model), "probs", threshold, inclusive)
+    if calibration is not None:
+        out = route(calibrated(calibration, out.drop("decision")), threshold, inclusive)
     return out if keep_probs else out.drop("probs")
 
 

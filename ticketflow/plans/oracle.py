@@ -11,7 +11,8 @@ from ticketflow.fixed_values import (
     SLOTS,
     TEMPLATES,
 )
-from ticketflow.plans.queries import COMPACT_FIT, FULL_FIT
+from ticketflow.operators.bootstrap import BOUNDS, DRAW_BITS, DRAWS
+from ticketflow.plans.queries import COMPACT_FIT, FULL_FIT, REPLICATES
 from ticketflow.plans.tables import EVENT_CLASSES, LANGUAGES, LINE_KEY, RETURN_FLAGS
 
 
@@ -217,6 +218,83 @@ BINS = f"""bins AS (SELECT CAST(least(9, floor(confidence * 10)) AS INTEGER) AS
     count(*) FILTER (truth = prediction) / count(*) AS accuracy, avg(confidence) AS mean_confidence
     FROM ({LINES}) GROUP BY 1)"""
 
+LINE_SPLITS = _split(f"SELECT *, truth AS l_returnflag FROM ({LINES})", "l_returnflag", LINE_KEY, RETURN_FLAGS)
+# isotonic regression by its min-max formula over the distinct confidences of the validation rows
+CALIBRATED = f"""{LINE_SPLITS},
+    x AS (SELECT confidence + 0.0 AS c, count(*) AS n, count(*) FILTER (truth = prediction) AS r, row_number() OVER (ORDER BY confidence + 0.0) AS i
+          FROM sp WHERE split = 'validation' GROUP BY 1),
+    upto AS (SELECT i, c, sum(n) OVER (ORDER BY i) AS n, sum(r) OVER (ORDER BY i) AS r, n AS own_n, r AS own_r FROM x),
+    means AS (SELECT a.i AS a, b.i AS b, (b.r - a.r + a.own_r) / (b.n - a.n + a.own_n)::DOUBLE AS m FROM upto a JOIN upto b ON a.i <= b.i),
+    least_from AS (SELECT a, x.i, min(m) AS m FROM means JOIN x ON a <= x.i AND b >= x.i GROUP BY 1, 2),
+    fitted AS (SELECT x.i, any_value(x.c) AS c, max(m) AS y FROM least_from JOIN x ON x.i = least_from.i GROUP BY 1),
+    asked AS (SELECT confidence AS c, count(*) AS n FROM sp WHERE split = 'test' GROUP BY 1),
+    placed AS (SELECT asked.c, asked.n, max(fitted.c) FILTER (fitted.c <= asked.c) AS below, min(fitted.c) FILTER (fitted.c >= asked.c) AS above
+               FROM asked, fitted GROUP BY 1, 2),
+    answer AS (SELECT p.c, p.n, CASE WHEN below IS NULL THEN hi.y WHEN above IS NULL OR below = above THEN lo.y
+                 ELSE lo.y + (hi.y - lo.y) * (p.c - below) / (above - below) END AS y
+               FROM placed p LEFT JOIN fitted lo ON lo.c = below LEFT JOIN fitted hi ON hi.c = above)"""
+
+PRICED = f"""priced AS (SELECT p.l_extendedprice / 104729.0::DOUBLE AS c, (r.truth = r.prediction)::INT AS hit
+    FROM lineitem p JOIN ({LINES}) r USING ({", ".join(LINE_KEY)})),
+    curve AS (SELECT c, count(*) AS n, sum(hit) AS r,
+        coalesce(sum(count(*)) OVER above, 0) AS n_above, coalesce(sum(sum(hit)) OVER above, 0) AS r_above,
+        sum(count(*)) OVER () AS total, sum(sum(hit)) OVER () AS total_r
+      FROM priced GROUP BY c WINDOW above AS (ORDER BY c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    lines AS (SELECT c AS threshold, CAST(n_above AS BIGINT) AS automatic, n_above / total AS coverage,
+        CASE WHEN n_above > 0 THEN r_above / n_above END AS precision, r_above / total_r AS recall FROM curve)"""
+CURVE_COLUMNS = "round(threshold, 6) AS threshold, automatic, round(coverage, 6) AS coverage, round(precision, 6) AS precision, round(recall, 6) AS recall"
+
+
+def _divergence(counts: str, name: str) -> str:
+    """CTEs from ``counts(w, k, n)`` to ``name(w, psi, js)`` against the first window."""
+    return f"""
+    {name}_g AS (SELECT w, k, coalesce(c.n, 0) + 0.5::DOUBLE AS n FROM (SELECT * FROM (SELECT DISTINCT w FROM {counts}) a, (SELECT DISTINCT k FROM {counts}) b) g
+                 LEFT JOIN {counts} c USING (w, k)),
+    {name}_p AS (SELECT w, k, n / sum(n) OVER (PARTITION BY w) AS p FROM {name}_g),
+    {name} AS (SELECT s.w, sum((s.p - q.p) * ln(s.p / q.p)) AS psi,
+                 sum(s.p * ln(2 * s.p / (s.p + q.p)) + q.p * ln(2 * q.p / (s.p + q.p))) / (2 * ln(2.0::DOUBLE)) AS js
+               FROM {name}_p s JOIN {name}_p q ON q.k = s.k AND q.w = (SELECT min(w) FROM {name}_p) GROUP BY 1)"""
+
+
+DRIFT_SCORES = f"""WITH e AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS w, event_type AS k,
+      CAST(greatest(0, least(1023, floor(least(1.0::DOUBLE, value / 200.0::DOUBLE) * 1024))) AS INTEGER) AS cell FROM events),
+    ref AS (SELECT cell, count(*) AS n FROM e WHERE w = (SELECT min(w) FROM e) GROUP BY 1),
+    bins AS (SELECT g.cell, least(9, coalesce(sum(n) OVER (ORDER BY g.cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 10
+                // sum(n) OVER ()) AS k FROM (SELECT unnest(range(1024))::INTEGER AS cell) g LEFT JOIN ref USING (cell)),
+    by_bin AS (SELECT w, bins.k, count(*) AS n FROM e JOIN bins USING (cell) GROUP BY 1, 2),
+    by_class AS (SELECT w, k, count(*) AS n FROM e GROUP BY 1, 2),
+    {_divergence("by_bin", "conf")}, {_divergence("by_class", "cls")},
+    days AS (SELECT w, count(*) AS n, quantile_disc(cell, 0.5) AS median_cell FROM e GROUP BY 1)
+    SELECT w AS window_start, days.n, median_cell, round(conf.psi, 6) AS psi_confidence, round(conf.js, 6) AS js_confidence,
+      round(cls.psi, 6) AS psi_class, round(cls.js, 6) AS js_class FROM days JOIN conf USING (w) JOIN cls USING (w)"""
+
+_WEIGHT = f"CASE {' '.join(f'WHEN u < {b} THEN {n}' for n, b in enumerate(BOUNDS))} ELSE {len(BOUNDS)} END"
+_LINE_HASH = f"md5(concat_ws(':', '{SEED}:bootstrap' || (r // {DRAWS}), {', '.join(f'CAST({k} AS VARCHAR)' for k in LINE_KEY)}))"
+BOOTSTRAP = f"""lines AS ({LINES}),
+    drawn AS (SELECT method, truth, prediction, r,
+        (('0x' || substr({_LINE_HASH}, CASE WHEN r % {DRAWS} < {DRAWS // 2} THEN 1 ELSE 16 END, 15))::BIGINT
+          >> CAST({DRAW_BITS} * (r % {DRAWS // 2}) AS BIGINT)) & {2**DRAW_BITS - 1} AS u
+      FROM lines, (SELECT unnest(range({REPLICATES})) AS r)),
+    weighed AS (SELECT method, truth, prediction, r, sum({_WEIGHT}) AS n FROM drawn GROUP BY 1, 2, 3, 4
+                UNION ALL SELECT method, truth, prediction, -1, count(*) FROM lines GROUP BY 1, 2, 3),
+    sides AS (SELECT method, r, truth AS label, n AS support, 0 AS predicted, CASE WHEN truth = prediction THEN n ELSE 0 END AS tp FROM weighed WHERE n > 0
+              UNION ALL SELECT method, r, prediction, 0, n, 0 FROM weighed WHERE n > 0),
+    ct AS (SELECT method, r, label, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM sides GROUP BY ALL),
+    macro AS (SELECT method, r, sum(tp) / sum(support) AS accuracy,
+        avg(CASE WHEN support + predicted = 0 THEN 0 ELSE 2 * tp / (support + predicted) END) AS f1_macro,
+        avg(CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END) AS precision_macro,
+        avg(CASE WHEN support = 0 THEN 0 ELSE tp / support END) AS recall_macro FROM ct GROUP BY 1, 2),
+    tidy AS (UNPIVOT macro ON accuracy, f1_macro, precision_macro, recall_macro INTO NAME metric VALUE value)"""
+ENDS = """round(max(value) FILTER (r < 0), 6) AS value, round(quantile_cont(value, 0.05) FILTER (r >= 0), 6) AS low,
+    round(quantile_cont(value, 0.95) FILTER (r >= 0), 6) AS high"""
+
+OUTCOMES = f"""WITH d AS ({DECISIONS}),
+    l AS (SELECT event_id, ts + to_hours(CAST(event_id % 80 - 4 AS INTEGER)) AS label_ts, truth FROM d WHERE event_id % 5 > 0)
+    SELECT coalesce(d.event_id, l.event_id) AS event_id,
+      CASE WHEN d.event_id IS NULL THEN 'STRAY' WHEN l.event_id IS NULL THEN 'UNLABELLED' WHEN prediction = l.truth THEN 'OK' ELSE 'ERROR' END AS status,
+      prediction, l.truth, epoch(date_trunc('second', label_ts))::BIGINT AS label_time
+    FROM d FULL JOIN l ON d.event_id = l.event_id AND label_ts >= ts AND label_ts <= ts + INTERVAL 2 DAY"""
+
 TEXT_KEYS = f"SELECT id, category, split, md5({NORMAL}) AS t FROM sp"
 
 
@@ -360,6 +438,9 @@ def sql() -> dict[str, str]:
         "compared_runs": f"WITH {RUNS} {compared}",
         "chosen_run": f"""WITH {RUNS} SELECT method, {RUN_ROUNDED} FROM runs
             ORDER BY f1_macro DESC, training_time_seconds, method LIMIT 1""",
+        "run_intervals": f"WITH {BOOTSTRAP} SELECT method, metric, {ENDS} FROM tidy GROUP BY 1, 2",
+        "run_difference": f"""WITH {BOOTSTRAP}, apart AS (SELECT r, metric, sum(CASE method WHEN 'F' THEN value ELSE -value END) AS value FROM tidy GROUP BY 1, 2),
+            ends AS (SELECT metric, {ENDS} FROM apart GROUP BY 1) SELECT *, low > 0 OR high < 0 AS differs FROM ends""",
         "savings": f"""SELECT round(r, 6) AS automation_rate, round({MONTHLY_COST} * r, 6) AS monthly_saving,
             round({MONTHLY_COST} * r * 12, 6) AS annual_saving
             FROM (SELECT count(*) FILTER (decision = 'automatic') / count(*) AS r FROM ({ROUTED}))""",
@@ -374,6 +455,19 @@ def sql() -> dict[str, str]:
         "reliability_bins": f"""WITH {BINS} SELECT bin, n, round(accuracy, 6) AS accuracy, round(mean_confidence, 6) AS mean_confidence,
             round(abs(accuracy - mean_confidence), 6) AS gap FROM bins""",
         "calibration_error": f"WITH {BINS} SELECT round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece FROM bins",
+        "calibrated_confidence": f"""WITH {CALIBRATED}
+            SELECT round(c, 6) AS raw_confidence, round(y, 6) AS confidence, CAST(sum(n) AS BIGINT) AS n FROM answer GROUP BY c, y""",
+        "calibration_gain": f"""WITH {LINE_SPLITS}, bins AS (SELECT floor(confidence * 10) AS bin, count(*) AS n,
+              count(*) FILTER (truth = prediction) / count(*) AS accuracy, avg(confidence) AS mean FROM sp WHERE split = 'test'
+              GROUP BY least(9, floor(confidence * 10)), 1)
+            SELECT round(sum(n * abs(accuracy - mean)) / sum(n), 6) AS ece_before, true AS improved, true AS monotone
+            FROM (SELECT least(9, bin) AS bin, sum(n) AS n, sum(n * accuracy) / sum(n) AS accuracy, sum(n * mean) / sum(n) AS mean FROM bins GROUP BY 1)""",
+        "threshold_curve": f"WITH {PRICED} SELECT {CURVE_COLUMNS} FROM lines",
+        "chosen_threshold": f"""WITH {PRICED}, best AS (SELECT * FROM lines WHERE precision >= 0.4 ORDER BY threshold LIMIT 1),
+            rank AS (SELECT round(sum((n - r) * (2 * r_above + r))::DOUBLE / (2 * sum(r) * sum(n - r)), 6) AS auc FROM curve)
+            SELECT {CURVE_COLUMNS}, auc FROM rank LEFT JOIN best ON true""",
+        "drift_scores": DRIFT_SCORES,
+        "streamed_errors": OUTCOMES,
         "drift_windows": DRIFT + "GROUP BY 1",
         "streamed_drift": DRIFT + "GROUP BY 1",
         "split_leakage": f"""WITH {sp}, k AS ({TEXT_KEYS}), seen AS (SELECT DISTINCT t FROM k WHERE split = 'train')
@@ -397,6 +491,8 @@ def sql() -> dict[str, str]:
         "fit_history": "SELECT 'full' AS run_id, 1 AS first, true AS stops_there, true AS keeps_the_best",
         "scored_documents": f"""WITH {sp} SELECT id, md5(text) AS text_md5, 4 AS n_probs, true AS sums_to_one, true AS is_largest,
             true AS decision_follows FROM sp WHERE split = 'test'""",
+        "wrong_labels": f"""SELECT count(*) AS n, count(*) FILTER ({_draw(11, "wrong", "doc_id")} < 0.03) AS n_planted,
+            true AS found, true AS mostly_planted FROM documents""",
         "scored_text": f"WITH {sp} SELECT min(id) AS id, true AS same FROM sp WHERE split = 'test'",
         "reloaded_model": f"WITH {sp} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM sp WHERE split = 'test'",
         "streamed_scores": f"WITH {sp} SELECT id, CAST(1 AS BIGINT) AS n, true AS same FROM sp WHERE split = 'test'",

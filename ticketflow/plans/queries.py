@@ -14,7 +14,7 @@ from ticketflow.fixed_values import MAX_LENGTH, THRESHOLD
 from ticketflow.functions import scores
 from ticketflow.functions import text as tx
 from ticketflow.functions.draws import draw, pick, weighted_choice
-from ticketflow.operators import audits, encode, fit, labels, metrics, profile, runs, score, split, synth
+from ticketflow.operators import audits, bootstrap, calibrate, drift, encode, fit, labels, metrics, profile, runs, score, split, suspects, synth, thresholds
 from ticketflow.plans import centroid, training
 from ticketflow.plans.automation import automation_quality
 from ticketflow.plans.tables import (
@@ -33,6 +33,7 @@ from ticketflow.schema import TICKET
 from ticketflow.session import shared_folder
 from ticketflow.sources import runs as run_files
 from ticketflow.sources import tickets as files
+from ticketflow.streaming import outcomes
 from ticketflow.streaming import tickets as streams
 
 FULL_FIT = fit.FitConfig(labels=LANGUAGES)
@@ -369,6 +370,22 @@ def chosen_run(spark, d):
     return rounded(runs.choose_run(_line_runs(spark, d)))
 
 
+REPLICATES = 32
+
+
+def _replicates(spark, d):
+    return bootstrap.replicate_counts(scored_lines(spark, d), LINE_KEY, REPLICATES, by=("method",))
+
+
+def run_intervals(spark, d):
+    """Figures of two runs, each with the interval of its replicates."""
+    return rounded(bootstrap.intervals(_replicates(spark, d), by=("method",), level=0.9))
+
+
+def run_difference(spark, d):
+    return rounded(bootstrap.difference_intervals(_replicates(spark, d), "method", "F", "O", level=0.9))
+
+
 def savings(spark, d):
     return rounded(runs.roi(metrics.automation_summary(score.route(scored_lines(spark, d)))))
 
@@ -470,6 +487,88 @@ def conflicting_labels(spark, d):
     return audits.conflicting_labels(docs.select("text", F.col("source").alias("category")))
 
 
+# --- calibration, threshold choice, drift as a figure
+
+
+def _calibrated_lines(spark, d):
+    """Line items of the test split, their confidence calibrated on the validation split, and that calibration."""
+    lines = split.train_val_test_split(scored_lines(spark, d), "truth", key=LINE_KEY, labels=RETURN_FLAGS)
+    model = calibrate.fit_calibration(lines.filter(F.col("split") == split.VALIDATION))
+    return calibrate.calibrated(model, lines.filter(F.col("split") == split.TEST)), model
+
+
+def calibrated_confidence(spark, d):
+    """What every confidence of the test split becomes."""
+    test, _ = _calibrated_lines(spark, d)
+    return rounded(test.groupBy("raw_confidence", "confidence").agg(F.count("*").alias("n")))
+
+
+def calibration_gain(spark, d):
+    """The calibration error of the test split before, and what must hold of it after."""
+    test, model = _calibrated_lines(spark, d)
+    before = audits.calibration_error(audits.reliability_bins(test, confidence="raw_confidence")).select(F.col("ece").alias("before"))
+    after = audits.calibration_error(audits.reliability_bins(test)).select(F.col("ece").alias("after"))
+    steps = model.predictions.toArray()
+    rising = bool((steps[1:] >= steps[:-1]).all())
+    return rounded(before.join(F.broadcast(after)).select(
+        F.col("before").alias("ece_before"), (F.col("after") <= F.col("before")).alias("improved"), F.lit(rising).alias("monotone")
+    ))
+
+
+def _priced_lines(spark, d):
+    """Line items with a confidence that is another one in nearly every row."""
+    return scored_lines(spark, d, F.col("l_extendedprice") / 104_729.0)
+
+
+def threshold_curve(spark, d):
+    return rounded(thresholds.threshold_curve(_priced_lines(spark, d)))
+
+
+def chosen_threshold(spark, d):
+    """The most automation that is right in 4 of 10 cases, and how well the confidence ranks."""
+    lines = _priced_lines(spark, d)
+    best = thresholds.choose_threshold(thresholds.threshold_curve(lines), 0.4)
+    return rounded(best.join(F.broadcast(thresholds.ranking_quality(lines).select("auc"))))
+
+
+def drift_scores(spark, d):
+    """Divergence of every day from the first one, from stored sketches of two halves of the events."""
+    confidence = F.least(F.lit(1.0), F.col("value") / 200.0).alias("confidence")
+    events = decision_stream_columns(table(spark, d, "events"), confidence)
+    path = shared_folder(spark)
+    for k in (0, 1):
+        drift.sketch(events.filter(F.col("event_id") % 2 == k)).write.mode("append").parquet(path)
+    scored = drift.drift_scores(drift.merged(spark.read.parquet(path)))
+    return rounded(scored.withColumn("window_start", F.unix_timestamp("window_start")))
+
+
+def _label_stream_columns(decisions):
+    """Labels of four fifths of the decisions, from 4 hours before to 75 hours after them."""
+    delay = F.make_dt_interval(F.lit(0), (F.col("event_id") % 80 - 4).cast("int"))
+    given = decisions.filter("event_id % 5 > 0")
+    return given.select("event_id", (F.col("ts") + delay).alias("label_ts"), "truth")
+
+
+def streamed_errors(spark, d):
+    """Decisions and later labels as two streams, in files by time, out of order within a file, with one
+    row at the end of each that lets the watermarks pass."""
+    base = shared_folder(spark)
+    decisions = decision_stream_columns(table(spark, d, "events")).select("event_id", "ts", "prediction", "truth")
+    sides = {"decisions": (decisions.select("event_id", "ts", "prediction"), "ts"), "labels": (_label_stream_columns(decisions), "label_ts")}
+    streams_of = []
+    for name, (rows, ts) in sides.items():
+        low, high = rows.agg(F.min(ts), F.max(ts)).first()
+        middle = low + (high - low) / 2
+        end = spark.createDataFrame([(-1 if name == "labels" else -2, high + (high - low) * 2, None)], rows.schema)
+        for part in (rows.filter(F.col(ts) < middle), rows.filter(F.col(ts) >= middle), end):
+            part.coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        streams_of.append(streams.read_stream(spark, f"{base}/{name}", schema=rows.schema, files_per_batch=1))
+    found = outcomes.outcomes(*streams_of, key="event_id")
+    streams.write_stream(found, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{base}/out").filter("event_id >= 0")
+    return done.select("event_id", "status", "prediction", "truth", F.unix_timestamp("label_ts").alias("label_time"))
+
+
 # --- fitted models: SQL states what must hold of them
 
 
@@ -572,6 +671,21 @@ def external_scores(spark, d):
     return rounded(scored.select("vec_id", "prediction", "confidence", "decision"))
 
 
+def wrong_labels(spark, d):
+    """Documents whose language is wrong in 3 of 100 cases: what must hold of the suspects."""
+    planted = draw(11, "wrong", "id") < 0.03
+    other = F.when(F.col("category") == "en", "fr").otherwise("en")
+    docs = document_tickets(spark, d).select("id", "text", F.when(planted, other).otherwise(F.col("category")).alias("category"), planted.alias("planted"))
+    path = shared_folder(spark)
+    docs.write.parquet(path)
+    found = suspects.judged(suspects.out_of_fold(spark.read.parquet(path), FULL_FIT), LANGUAGES)
+    hit = F.count_if(F.col("suspect") & F.col("planted"))
+    return found.agg(
+        F.count("*").alias("n"), F.count_if("planted").alias("n_planted"),
+        (hit >= 0.9 * F.count_if("planted")).alias("found"), (hit >= 0.7 * F.count_if("suspect")).alias("mostly_planted"),
+    )
+
+
 def streamed_scores(spark, d):
     """The stored documents of the test split scored as a stream."""
     test, result = _fitted(spark, d, rounds=False)
@@ -651,6 +765,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         best_round,
         compared_runs,
         chosen_run,
+        run_intervals,
+        run_difference,
         savings,
         csv_round_trip,
         stored_splits,
@@ -661,6 +777,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reliability_bins,
         calibration_error,
         drift_windows,
+        calibrated_confidence,
+        calibration_gain,
+        threshold_curve,
+        chosen_threshold,
+        drift_scores,
+        streamed_errors,
         split_leakage,
         leaked_rows,
         benchmark_overlap,
@@ -671,6 +793,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scored_documents,
         reloaded_model,
         external_scores,
+        wrong_labels,
         scored_text,
         streamed_scores,
         streamed_drift,

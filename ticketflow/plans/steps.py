@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketflow.fixed_values import LABELS, SEED
-from ticketflow.operators import fit, labels, metrics, runs, score, synth
+from ticketflow.operators import calibrate, fit, labels, metrics, runs, score, synth, thresholds
 from ticketflow.operators.split import TEST, TRAIN, VALIDATION
 from ticketflow.plans.training import evaluated, store_splits
 from ticketflow.schema import TICKET
@@ -45,7 +45,8 @@ def class_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train(spark: SparkSession, folder: str, method: str = "full", seed: int = SEED) -> DataFrame:
-    """Fit on the stored splits; store the model, its history, and class report
+    """Fit on the stored splits; store the model, its history, its calibration and
+    threshold curve from the validation rows, and class report
     and confusion matrix of the test rows; append and return its run record. The full fit is class-weighted, the compact one is not."""
     parts = {name: files.read_split(spark, f"{folder}/splits", name) for name in (TRAIN, VALIDATION, TEST)}
     cfg = replace(METHODS[method], seed=seed)
@@ -54,6 +55,11 @@ def train(spark: SparkSession, folder: str, method: str = "full", seed: int = SE
     else:
         result = fit.fit_compact(parts[TRAIN], parts[VALIDATION], cfg)
     run_files.save_model(result.model, f"{folder}/models/{method}")
+    held = score.score(result.model, parts[VALIDATION]).withColumnRenamed("category", "truth")
+    calibration = calibrate.fit_calibration(held)
+    run_files.save_model(calibration, f"{folder}/calibrations/{method}")
+    curve = thresholds.threshold_curve(calibrate.calibrated(calibration, held))
+    curve.write.mode("overwrite").parquet(f"{folder}/thresholds/method={method}")
     result.history_frame(spark, method).write.mode("overwrite").parquet(f"{folder}/history/{method}")
     pairs = metrics.confusion(score.score(result.model, parts[TEST]).withColumnRenamed("category", "truth"))
     reports = {"classes": metrics.class_report(pairs), "confusion": metrics.confusion_matrix(pairs, LABELS)}
@@ -65,13 +71,25 @@ def train(spark: SparkSession, folder: str, method: str = "full", seed: int = SE
 
 
 def automate(
-    spark: SparkSession, folder: str, method: str = "full", csv: bool = False
+    spark: SparkSession, folder: str, method: str = "full", csv: bool = False, precision: float | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Score the stored test split and store the rows by decision, also as one
     CSV table if asked for; returns
-    automation summary, confidence statistics and savings."""
+    automation summary, confidence statistics and savings.
+
+    With a ``precision`` the confidence is calibrated and the threshold is the smallest that kept it on the validation rows
+    (ValueError if none did); else the fixed threshold decides on the model's own confidence."""
     test = files.read_split(spark, f"{folder}/splits", TEST)
-    scored = score.score(run_files.load_model(f"{folder}/models/{method}"), test)
+    model = run_files.load_model(f"{folder}/models/{method}")
+    if precision is None:
+        scored = score.score(model, test)
+    else:
+        curve = spark.read.parquet(f"{folder}/thresholds").filter(F.col("method") == method).drop("method")
+        best = thresholds.choose_threshold(curve, precision).first().threshold
+        if best is None:
+            raise ValueError(f"no threshold has a precision of {precision} on the validation rows")
+        calibration = run_files.load_calibration(f"{folder}/calibrations/{method}")
+        scored = score.score(model, test, threshold=best, calibration=calibration).drop(calibrate.RAW)
     files.write_routed(scored, f"{folder}/scored")
     if csv:
         files.write_scored(scored, f"{folder}/scored_csv")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Labels that stand in for ticket classes in the document table.
@@ -32,16 +32,17 @@ def document_tickets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
+def scored_lines(spark: SparkSession, folder: str, confidence: Column | None = None) -> DataFrame:
     """Line items as a large scored table: the return flag is the truth, the
-    discount gives a prediction (one that never says R) and a confidence."""
+    discount gives a prediction (one that never says R) and a confidence, unless another is given."""
+    given = F.lit(1.0) - F.col("l_discount") * F.col("l_tax") * 50 if confidence is None else confidence
     guess = F.when(F.col("l_discount") < 0.04, "A").when(F.col("l_discount") < 0.09, "N").otherwise("X")
     return table(spark, folder, "lineitem").select(
         *LINE_KEY,
         F.col("l_linestatus").alias("method"),
         F.col("l_returnflag").alias("truth"),
         guess.alias("prediction"),
-        (F.lit(1.0) - F.col("l_discount") * F.col("l_tax") * 50).alias("confidence"),
+        given.alias("confidence"),
     )
 
 
@@ -64,10 +65,10 @@ def event_quotas(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def decision_stream_columns(events: DataFrame) -> DataFrame:
+def decision_stream_columns(events: DataFrame, *more: Column) -> DataFrame:
     """Events as timestamped decisions: the type is the prediction, and the
     truth is another one where the value is high."""
     truth = F.when(F.col("value") > 60, "error").otherwise(F.col("event_type"))
     # The table's times carry no zone; they are read as UTC in any session.
     utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
-    return events.select("event_id", utc.alias("ts"), F.col("event_type").alias("prediction"), truth.alias("truth"))
+    return events.select("event_id", utc.alias("ts"), F.col("event_type").alias("prediction"), truth.alias("truth"), *more)

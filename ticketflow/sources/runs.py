@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketflow.schema import RUN
@@ -17,10 +18,14 @@ def read_runs(spark: SparkSession, path: str | list[str], multi_line: bool = Fal
     return spark.read.schema(RUN).option("multiLine", multi_line).json(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: PipelineModel | IsotonicRegressionModel, path: str) -> None:
     """Features, classifier and label list together."""
     model.write().overwrite().save(path)
 
 
+def load_calibration(path: str) -> IsotonicRegressionModel:
+    return IsotonicRegressionModel.load(path)
+
+
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

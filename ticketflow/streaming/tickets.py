@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +35,10 @@ def score_stream(
     text: str = "text",
     threshold: float = THRESHOLD,
     inclusive: bool = False,
+    calibration: IsotonicRegressionModel | None = None,
 ) -> DataFrame:
     """Scored stream; no state is kept, rows are independent."""
-    return score(model, stream, text, threshold, inclusive)
+    return score(model, stream, text, threshold, inclusive, calibration=calibration)
 
 
 def write_stream(
@@ -76,8 +78,9 @@ def drift(
     truth: str | None = None,
 ) -> DataFrame:
     """Per tumbling window: rows, share of each class and, with a truth column,
-    the error rate. Works on tables and streams; on a stream, rows later than
-    ``late`` behind the newest are dropped once their window has closed.
+    the error rate. Works on tables and streams. A stream written in append mode (write_stream) gives a window when
+    it has closed and drops its state; rows later than ``late`` behind the newest are then dropped. In complete
+    mode (write_latest) every window stays open: nothing is dropped, and the state grows with the windows.
     """
     p = F.col(prediction)
     shares = [(F.count_if(p == name) / F.count("*")).alias(f"share_{name}") for name in classes]
