@@ -311,3 +311,30 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
         left = simhash.one_of_each(exact.drop_copies(docs))
         copies = {(r.id, r.copies) for r in mixing.mix_plan(left).collect() if r.copies}
         assert sorted({r.doc_id for r in got}, key=str) == sorted({i for i, _ in copies}, key=str)
+
+
+def test_counts_beyond_four_bytes(spark, tmp_path):
+    keys, counts = np.array([1, 5, 9], np.uint64), np.array([2**32 + 5, 3, 2**40], np.int64)
+    got = lm.unpacked(lm.packed(keys, counts))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
+    assert lm.narrow(counts[1:2]).dtype == np.uint32 and lm.narrow(counts).tolist() == counts.tolist()
+    train = spark.createDataFrame([("a b a b a",), ("b a c",)], "text string")
+    model = lm.fit(train, folder=str(tmp_path / "model"), shards=1)
+    n = model.pairs[0]
+    lm.narrow(np.arange(n) + 2**33).tofile(model.file("times", 0))
+    known = np.fromfile(model.file("key", 0), np.uint64)
+    assert model.counts_of(known).tolist() == [2**33 + i for i in range(n)]
+
+
+def test_long_urls_do_not_explode(spark):
+    """A long url many times, and many urls below one long path: a subset of their parts is no rule of its own."""
+    long = "http://a.long.info/" + "/".join(f"part{i}" for i in range(25))
+    deep = "http://b.deep.example/" + "/".join(f"level{i}" for i in range(25))
+    pages = [(i, long) for i in range(10_000)] + [(10_000 + i, f"{deep}/{i}") for i in range(60)] + [(11_000 + i, f"http://c.good.org/{i}") for i in range(60)]
+    rows = spark.createDataFrame(pages, "page_id long, url string")
+    labels = rows.select(F.col("page_id").alias("id"), F.col("url").contains("deep").alias("bad"))
+    got = {(r.host, r.verdict): r.n for r in urls.judged(rows, labels, rules=()).groupBy("host", "verdict").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a.long.info", "allow"): 10_000, ("b.deep.example", "block"): 60, ("c.good.org", "allow"): 60}
+    tokens = rows.select("page_id", urls.host_of().alias("host"), urls.path_of().alias("path")).select(urls.tokens().alias("tokens"), (F.col("page_id") >= 11_000).alias("good"))
+    rules = urls.mine(tokens.select("tokens", F.when(F.col("good") | F.exists("tokens", lambda t: t == "h1:long"), "allow").otherwise("block").alias("verdict"))).collect()
+    assert any(len(r.tokens) > 25 and r.verdict == "block" for r in rules) and len(rules) < 10

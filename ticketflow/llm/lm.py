@@ -49,7 +49,7 @@ def mounted(path: str) -> str:
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and counts, compressed: the bytes of equal weight of the gaps between keys together."""
     gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    planes = [x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in (gaps, counts.astype("<u4"))]
+    planes = [x.view(np.uint8).reshape(len(keys), -1).T.tobytes() for x in (gaps, counts.astype("<u8"))]
     return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + b"".join(planes))
 
 
@@ -58,7 +58,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(raw[:8], "little")
     planes = np.frombuffer(raw, np.uint8, offset=8)
     gaps = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    counts = np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").ravel()
+    counts = np.ascontiguousarray(planes[8 * n :].reshape(8, n).T).view("<u8").ravel()
     return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
 
 
@@ -174,7 +174,8 @@ class Model:
             known = self.array("key", shard, self.pairs[shard], np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                n = self.array("times", shard, self.pairs[shard], np.uint32)[at]
+                wide = os.path.getsize(self.file("times", shard)) > 4 * self.pairs[shard]
+                n = self.array("times", shard, self.pairs[shard], np.uint64 if wide else np.uint32)[at]
                 out[a:b] = np.where(known[at] == keys[a:b], n, 0)
         return out
 
@@ -243,6 +244,11 @@ def _write(path: str, array: np.ndarray) -> None:
     os.replace(mine, path)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 4 bytes each where all of them fit, else in 8."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64)
+
+
 def training(docs: DataFrame) -> DataFrame:
     """Texts whose crc32(doc_id as text) mod 7 is not 2; a row without id is one of them."""
     return docs.filter(F.coalesce(remainder(7), F.lit(0)) != 2).select("text")
@@ -330,7 +336,7 @@ def _fit_pairs(train: DataFrame, model: Model) -> None:
         shard = key[0].as_py()
         keys, counts = summed([unpacked(x.as_py()) for x in table.column("data")])
         _write(model.file("key", shard), keys)
-        _write(model.file("times", shard), np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        _write(model.file("times", shard), narrow(counts))
         rows = [("shape", -1, packed(np.arange(6, dtype=np.uint64), np.array([len(keys), *((counts == k).sum() for k in (1, 2, 3, 4)), 0])))]
         rows.append(("cut", -1, int(keys[0]).to_bytes(8, "little")))
         second, before = np.unique(keys & np.uint64(2**32 - 1), return_counts=True)

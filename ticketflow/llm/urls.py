@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from ticketflow.llm import tables
 
-#: Production parameters of mining: share of the labelled urls, and number of them at least; confidence;
-#: tokens of a rule.
-SUPPORT, LEAST, CONFIDENCE, TOKENS = 0.002, 20, 0.9, 3
+#: Production parameters of mining: share of the distinct labelled urls, and number of them at least; confidence.
+SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.9
 
 
 @dataclass(frozen=True)
@@ -74,42 +73,52 @@ def tokens() -> Column:
     return F.array_sort(F.array_distinct(known))
 
 
-def mine(
-    labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = TOKENS, least: int = LEAST
-) -> DataFrame:
+def baskets(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(items, verdict) of the distinct labelled(tokens, verdict), and what each item stands for: item, of (tokens).
+
+    Tokens that fewer than `least` distinct urls have are left out. Tokens that the same urls have, such as the parts of one long path,
+    say the same: they are one item. Two tokens have the same urls if number, sum and exclusive or of the urls' hashes agree.
+    """
+    urls = labelled.select("tokens", "verdict").distinct()
+    named = urls.select("verdict", "tokens", F.xxhash64("tokens", "verdict").alias("a"), F.xxhash64("verdict", "tokens").alias("b"))
+    each = named.select("a", "b", "verdict", F.explode("tokens").alias("token"))
+    holders = [F.sum(F.col("a").cast("decimal(38,0)")).alias("sum"), F.bit_xor("b").alias("xor"), F.count(F.lit(1)).alias("n")]
+    known = each.groupBy("token").agg(*holders).filter(F.col("n") >= least)
+    groups = known.groupBy("n", "sum", "xor").agg(F.array_sort(F.collect_list("token")).alias("of"))
+    items = tables.stored(groups.select(F.get("of", F.lit(0)).alias("item"), "of"), "items")
+    name = items.select("item", F.explode("of").alias("token"))
+    found = each.join(name, "token").groupBy("a", "b", "verdict").agg(F.collect_set("item").alias("items"))
+    return found.select("items", "verdict"), items
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """Rules (tokens, verdict, confidence, support) from labelled(tokens, verdict).
 
-    A rule needs `least` labelled urls, and the share `support` of them. Equal urls count as often as they come. Of the rules of one verdict, one whose tokens contain
+    A rule needs `least` distinct labelled urls, and the share `support` of them; equal urls with one verdict count once. Tokens that
+    the same labelled urls have are in a rule together. Of the rules of one verdict, one whose tokens contain
     those of another of at least its confidence is dropped. No labelled url gives no rule.
     """
     schema = "tokens array<string>, verdict string, confidence double, support double"
     labelled = labelled.filter(F.size("tokens") > 0)
-    urls = labelled.count()
+    urls = labelled.distinct().count()
     if urls < least:
         return labelled.sparkSession.createDataFrame([], schema)
-    verdict = F.concat(F.lit("="), F.col("verdict"))
-    baskets = labelled.select(F.array_append("tokens", verdict).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / urls), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.select(
-        F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("to"), "confidence", "support"
-    )
-    found = found.filter(F.startswith("to", F.lit("=")) & (F.size("tokens") <= most))
-    found = found.filter(~F.exists("tokens", lambda x: F.startswith(x, F.lit("="))))
-    found = tables.stored(found.select("tokens", F.substring("to", 2, 1_000).alias("verdict"), "confidence", "support"), "rules")
-    # a rule of k tokens has at most 2^k - 2 proper parts: each is looked up by its name
-    named = F.concat_ws("\n", "tokens")
-    part = found.select("*", F.posexplode("tokens").alias("at", "token"))
-    less = [part.select("tokens", "verdict", "confidence", F.array("token").alias("part"))]
-    if most > 2:
-        less.append(part.select("tokens", "verdict", "confidence", F.array_remove("tokens", F.col("token")).alias("part")))
-    for k in range(len(less)):
-        less[k] = less[k].filter(F.size("part") < F.size("tokens"))
-    parts = less[0] if len(less) == 1 else less[0].unionByName(less[1])
-    short = found.select(named.alias("name"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    covered = parts.join(
-        short, (F.concat_ws("\n", "part") == F.col("name")) & (F.col("verdict") == F.col("v")) & (F.col("c") >= F.col("confidence"))
-    )
-    return tables.stored(found.join(covered.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti"), "pruned")
+    rows, items = baskets(labelled, max(least, support * urls))
+    rows = tables.stored(rows.select(F.array_append("items", F.concat(F.lit("="), F.col("verdict"))).alias("items")), "baskets")
+    kept = max(1, rows.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support * urls, least) / kept), minConfidence=confidence).fit(rows)
+    found = model.associationRules.select("antecedent", F.col("consequent")[0].alias("to"), "confidence", (F.col("support") * kept / urls).alias("support"))
+    found = found.filter(F.startswith("to", F.lit("=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("="))))
+    found = found.select("antecedent", F.substring("to", 2, 1_000).alias("verdict"), "confidence", "support")
+    whole = found.select("*", F.explode("antecedent").alias("item")).join(items, "item")
+    whole = whole.groupBy("antecedent", "verdict", "confidence", "support").agg(F.array_sort(F.flatten(F.collect_list("of"))).alias("tokens"))
+    whole = tables.stored(whole.select("tokens", "verdict", "confidence", "support"), "rules")
+    # a rule that covers another has all its tokens there, so its rarest one too
+    short = indexed(whole, whole).select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), "key")
+    asked = whole.select("tokens", "verdict", "confidence", F.explode("tokens").alias("key")).join(short, "key")
+    inside = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
+    covered = asked.filter((F.col("verdict") == F.col("v")) & (F.col("c") >= F.col("confidence")) & inside)
+    return tables.stored(whole.join(covered.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti"), "pruned")
 
 
 def indexed(rules: DataFrame, urls: DataFrame) -> DataFrame:
@@ -138,7 +147,6 @@ def judged(
     rules=STATED,
     support: float = SUPPORT,
     confidence: float = CONFIDENCE,
-    most: int = TOKENS,
 ) -> DataFrame:
     """Per row of pages: page_id, host, path, rule, verdict, matched.
 
@@ -150,7 +158,7 @@ def judged(
     urls = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
     urls = tables.stored(urls.select("*", stated(rules).alias("said"), tokens().alias("tokens")), "urls")
     known = labels.filter("bad is not null").select("id", F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
-    mined = mine(urls.join(known, F.col("page_id") == F.col("id")).select("tokens", "verdict"), support, confidence, most)
+    mined = mine(urls.join(known, F.col("page_id") == F.col("id")).select("tokens", "verdict"), support, confidence)
     open_ = urls.filter("said is null")
     found = matched(open_, mined).withColumnsRenamed({"tokens": "of", "verdict": "mined"})
     both = urls.join(found, F.col("said").isNull() & (F.col("tokens") == F.col("of")), "left")
