@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
@@ -10,16 +12,18 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
+    DCT,
     IDF,
-    PCA,
+    ElementwiseProduct,
     HashingTF,
     IDFModel,
     IndexToString,
-    PCAModel,
     RegexTokenizer,
     SQLTransformer,
+    VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +36,20 @@ from ticketflow.operators.runs import run_record
 from ticketflow.schema import HISTORY
 
 
+#: Components of a compact fit, unless its configuration says otherwise.
+COMPONENTS = 256
+
+
 @dataclass(frozen=True)
 class FitConfig:
     """A round adds ``iterations_per_round`` passes over the training rows.
     ``max_tokens`` None reads whole texts; a number keeps the first tokens of
     each, as a model with a fixed input length would. ``partitions`` spreads
-    training rows that lie in fewer pieces than the cluster has cores. A
-    projection is decomposed on the driver, so ``max_projected`` bounds the
-    features of one: 4,096 take 128 MB."""
+    training rows that lie in fewer pieces than the cluster has cores.
+    ``components`` is the size that a compact fit projects the features to."""
 
     features: int = 1 << 14
     components: int | None = None
-    max_projected: int = 4_096
     max_tokens: int | None = None
     reg_param: float = 0.001
     rounds: int = ROUNDS
@@ -79,13 +85,30 @@ def counter(cfg: FitConfig) -> list:
     return [tokens, cut, counts.setInputCol("_kept")]
 
 
+def projection(cfg: FitConfig, source: str, target: str) -> list:
+    """Stages that project ``features`` numbers to ``components``; they learn nothing and hold no matrix.
+
+    A subsampled randomized cosine transform: every feature gets a random sign, the cosine transform spreads each over all
+    coordinates, and a random choice of these is kept. Lengths and distances are kept up to a
+    factor near 1, as by a matrix of random signs, at n log n per row.
+    """
+    rng = random.Random(cfg.seed)
+    scale = math.sqrt(cfg.features / cfg.components)
+    signs = [scale * rng.choice((-1.0, 1.0)) for _ in range(cfg.features)]
+    kept = sorted(rng.sample(range(cfg.features), cfg.components))
+    return [
+        ElementwiseProduct(scalingVec=Vectors.dense(signs), inputCol=source, outputCol="_signed"),
+        DCT(inputCol="_signed", outputCol="_spread"),
+        VectorSlicer(inputCol="_spread", outputCol=target, indices=kept),
+    ]
+
+
 def weigher(cfg: FitConfig) -> Pipeline:
     """Stages from counts to features, learned without labels and then frozen:
     inverse document frequency, and a projection if ``components`` is set."""
     if not cfg.components:
         return Pipeline(stages=[IDF(inputCol="_counts", outputCol="_features")])
-    idf = IDF(inputCol="_counts", outputCol="_idf")
-    return Pipeline(stages=[idf, PCA(inputCol="_idf", outputCol="_features", k=cfg.components)])
+    return Pipeline(stages=[IDF(inputCol="_counts", outputCol="_idf"), *projection(cfg, "_idf", "_features")])
 
 
 def _prepare(df: DataFrame, cfg: FitConfig, text: str, category: str, weights: DataFrame | None) -> DataFrame:
@@ -196,15 +219,15 @@ def fit_full(
 def fit_compact(
     train: DataFrame,
     val: DataFrame | None = None,
-    cfg: FitConfig = FitConfig(features=512, components=32),
+    cfg: FitConfig = FitConfig(components=COMPONENTS),
     text: str = "text",
     category: str = "category",
 ) -> FitResult:
     """Fit a small unweighted head on a frozen low-dimensional projection."""
     if not cfg.components:
         raise ValueError("a compact fit needs components")
-    if not cfg.components <= cfg.features <= cfg.max_projected:
-        raise ValueError(f"a projection needs {cfg.components} to {cfg.max_projected} features, not {cfg.features}")
+    if cfg.components > cfg.features:
+        raise ValueError(f"a projection to {cfg.components} needs as many features, not {cfg.features}")
     return _fit(train, val, None, cfg, text, category)
 
 
@@ -215,8 +238,8 @@ def param_counts(model: PipelineModel) -> dict:
     for stage in model.stages:
         if isinstance(stage, IDFModel):
             frozen += stage.idf.size
-        elif isinstance(stage, PCAModel):
-            frozen += stage.pc.numRows * stage.pc.numCols
+        elif isinstance(stage, ElementwiseProduct):
+            frozen += stage.getScalingVec().size
         elif isinstance(stage, LogisticRegressionModel):
             trainable += stage.coefficientMatrix.numRows * stage.coefficientMatrix.numCols
             trainable += stage.interceptVector.size

@@ -486,7 +486,7 @@ def sql() -> dict[str, str]:
             CAST({FULL_FIT.features} * 5 + 4 AS BIGINT) AS total_parameters, CAST({FULL_FIT.features} * 4 + 4 AS BIGINT) AS trainable_parameters,
             true AS accurate, true AS timed""",
         "fitted_compact": f"""SELECT 'projected' AS model, 'compact' AS method, false AS weighted, CAST({SEED} AS BIGINT) AS seed,
-            CAST({COMPACT_FIT.features} * {1 + COMPACT_FIT.components} + {COMPACT_FIT.components} * 4 + 4 AS BIGINT) AS total_parameters,
+            CAST({COMPACT_FIT.features} * 2 + {COMPACT_FIT.components} * 4 + 4 AS BIGINT) AS total_parameters,
             CAST({COMPACT_FIT.components} * 4 + 4 AS BIGINT) AS trainable_parameters, true AS accurate, true AS timed""",
         "fit_history": "SELECT 'full' AS run_id, 1 AS first, true AS stops_there, true AS keeps_the_best",
         "scored_documents": f"""WITH {sp} SELECT id, md5(text) AS text_md5, 4 AS n_probs, true AS sums_to_one, true AS is_largest,

@@ -37,8 +37,7 @@ from ticketflow.streaming import outcomes
 from ticketflow.streaming import tickets as streams
 
 FULL_FIT = fit.FitConfig(labels=LANGUAGES)
-# the projection is decomposed on the driver: features * features doubles
-COMPACT_FIT = fit.FitConfig(features=512, components=32, labels=LANGUAGES)
+COMPACT_FIT = fit.FitConfig(components=fit.COMPONENTS, labels=LANGUAGES)
 LEAST_F1 = 0.9
 
 

@@ -16,7 +16,7 @@ from ticketflow.schema import TICKET
 from ticketflow.sources import runs as run_files
 from ticketflow.sources import tickets as files
 
-METHODS = {"full": fit.FitConfig(), "compact": fit.FitConfig(features=512, components=32)}
+METHODS = {"full": fit.FitConfig(), "compact": fit.FitConfig(components=fit.COMPONENTS)}
 
 
 def prepare(spark: SparkSession, folder: str, scale: int = 1, seed: int = SEED) -> DataFrame:
