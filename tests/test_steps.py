@@ -21,6 +21,14 @@ def test_automation(spark, folder):
     assert (savings.monthly_saving, savings.annual_saving) == (15000.0, 180000.0)
 
 
+def test_automation_at_a_wanted_precision(spark, folder):
+    summary, stats, _ = (df.first() for df in steps.automate(spark, folder, precision=0.95))
+    assert summary.total == 750 and summary.automatic + summary.human_review == 750
+    assert 0 <= stats.min_confidence <= stats.max_confidence <= 1
+    with pytest.raises(ValueError, match="precision"):
+        steps.automate(spark, folder, precision=1.5)
+
+
 def test_examples_and_predictions(spark, folder):
     summary, wrong = steps.new_examples(spark, folder)
     rows = wrong.collect()

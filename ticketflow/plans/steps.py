@@ -58,7 +58,7 @@ def train(spark: SparkSession, folder: str, method: str = "full", seed: int = SE
     held = score.score(result.model, parts[VALIDATION]).withColumnRenamed("category", "truth")
     calibration = calibrate.fit_calibration(held)
     run_files.save_model(calibration, f"{folder}/calibrations/{method}")
-    curve = thresholds.threshold_curve(calibrate.calibrated(calibration, held))
+    curve = thresholds.threshold_curve(calibrate.calibrated(calibration, held), inclusive=True)
     curve.write.mode("overwrite").parquet(f"{folder}/thresholds/method={method}")
     result.history_frame(spark, method).write.mode("overwrite").parquet(f"{folder}/history/{method}")
     pairs = metrics.confusion(score.score(result.model, parts[TEST]).withColumnRenamed("category", "truth"))
@@ -77,7 +77,7 @@ def automate(
     CSV table if asked for; returns
     automation summary, confidence statistics and savings.
 
-    With a ``precision`` the confidence is calibrated and the threshold is the smallest that kept it on the validation rows
+    With a ``precision`` the confidence is calibrated and what reaches the smallest threshold that kept it on the validation rows is automatic
     (ValueError if none did); else the fixed threshold decides on the model's own confidence."""
     test = files.read_split(spark, f"{folder}/splits", TEST)
     model = run_files.load_model(f"{folder}/models/{method}")
@@ -89,7 +89,7 @@ def automate(
         if best is None:
             raise ValueError(f"no threshold has a precision of {precision} on the validation rows")
         calibration = run_files.load_calibration(f"{folder}/calibrations/{method}")
-        scored = score.score(model, test, threshold=best, calibration=calibration).drop(calibrate.RAW)
+        scored = score.score(model, test, threshold=best, inclusive=True, calibration=calibration).drop(calibrate.RAW)
     files.write_routed(scored, f"{folder}/scored")
     if csv:
         files.write_scored(scored, f"{folder}/scored_csv")
