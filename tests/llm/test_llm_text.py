@@ -7,10 +7,11 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from ticketflow.llm import exact, lm, mixing, packing, quality, simhash, sketch, unigram, urls
+from ticketflow.llm import exact, lm, mixing, packing, quality, sharding, simhash, sketch, tables, unigram, urls
 from ticketflow.llm.queries import PIECE_TOKENIZER, QUERIES, WORD_TOKENIZER
 
 ALPHABET = "abcXYZ ’'éÉßİıſ.,!  \n\t  ́ẛΣσ漢字12\x1f▁<|endoftext|>ﬁññ\U0001f600"
@@ -110,11 +111,18 @@ def test_sketches():
     assert sketch.resemblance(nothing, nothing) == 1 and sketch.resemblance(nothing, one) == 0
 
 
+def in_order(docs):
+    """(doc_id, text) in descending doc_id, null last, rows of one id by the hash of their texts."""
+    rows = ((r.doc_id, r.text or "") for r in docs.collect())
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 2**63) - 2**63
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1]))
+
+
 @pytest.mark.parametrize("parts", [1, 4, 50])
 @pytest.mark.parametrize("which", ["odd", "documents", "none"])
 def test_compared(which, parts, request):
     docs = request.getfixturevalue(which)
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = in_order(docs)
     want = Counter()
     for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
         cut = len(text) // 3
@@ -125,6 +133,39 @@ def test_compared(which, parts, request):
     assert Counter(map(tuple, got)) == want
 
 
+@pytest.fixture(scope="module", params=["one id", "no id", "one row"])
+def hot(request, spark):
+    """Documents, a third of them under one id or none, or all the same row."""
+    every = spark.range(0, 9_000, 1, 12).withColumn("hot", F.col("id") % 3 == 0)
+    shared = F.lit(None if request.param == "no id" else 5_000).cast("long")
+    text = F.lit("the same") if request.param == "one row" else F.concat(F.lit("text "), F.col("id").cast("string"))
+    doc_id = F.when(F.col("hot"), shared).otherwise(F.col("id"))
+    return every.select(doc_id.alias("doc_id"), F.when(F.col("hot"), text).otherwise(F.concat(F.lit("own "), F.col("id").cast("string"))).alias("text"))
+
+
+def test_a_hot_id_is_dealt_over_tasks(hot):
+    dealt = sketch.beside_next(hot, 8)
+    tasks = dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts")).collect()
+    assert len(tasks) == 8 and all(t.parts == 1 for t in tasks) and max(t.n for t in tasks) < 9_000 / 4
+    rows = in_order(hot)
+    want = Counter((i, text[: len(text) - len(text) // 3] + after[: len(text) // 3]) for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]))
+    got = sketch.compared(hot, parts=8).select("doc_id", "edited_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter({(i, sha256(t.encode()).hexdigest()): n for (i, t), n in want.items()})
+
+
+def test_a_hot_id_is_numbered_by_many_tasks(hot):
+    """Ranks within a value are gapless, and no window holds more than one written part of a hot row."""
+    runs = tables.stored_runs(hot.withColumn("by", F.lit(1)), "runs")
+    assert runs.groupBy("by", "run").count().agg(F.max("count")).first()[0] < 9_000 / 4
+    ranks = tables.ranked(runs, "by", ["doc_id", "text"], "rank")
+    assert ranks.columns == ["by", "doc_id", "text", "rank"]
+    assert sorted(r["rank"] for r in ranks.collect()) == list(range(9_000))
+    sequences = packing.packed(hot, WORD_TOKENIZER, 512).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("to")).collect()
+    assert all(r.n == r.to <= 512 for r in sequences)
+    slots = sharding.sharded(hot, 4).groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("to"), F.count("*").alias("rows")).collect()
+    assert all(r.n == r.rows == r.to + 1 for r in slots) and sum(r.rows for r in slots) == 9_000
+
+
 def kneser_ney(train, texts):
     """log10 of texts by dictionaries; train and texts are lists of words."""
     pairs, own = Counter(), Counter()

@@ -18,7 +18,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -30,8 +30,6 @@ LENGTH, END_ID = 4096, 1
 FEW, PATTERNS, STEPS = 6, 30_000, 300
 #: Whitespace-separated words whose ids a worker keeps.
 CACHED = 400_000
-#: Buckets of the pieces of one length, for ranking them.
-BUCKETS = 64
 SEED = 42
 
 
@@ -310,19 +308,12 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     Null and empty texts are the end id alone. Repeated rows are packed each; an empty table
     gives an empty result. The driver gets the histogram of lengths, at most `length` entries.
     """
-    cut = tables.stored(pieces(docs, path, length, end_id), "pieces")
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)))
-    counts = tables.stored(cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
+    cut = tables.stored_runs(pieces(docs, path, length, end_id), "pieces")
     histogram = np.zeros(length + 1, np.int64)
-    for size, n in counts.groupBy("length").agg(F.sum("n")).collect():
+    for size, n in cut.groupBy("length").agg(F.count(F.lit(1))).collect():
         histogram[size] = n
     places = Places(plan(histogram, length))
-
-    earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("id", "piece", "crc")
-    ranked = cut.withColumn("nth", F.row_number().over(within)).join(base, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("nth") - 1).select("id", "piece", "start", "length", "crc", "rank")
+    ranked = tables.ranked(cut, "length", ["id", "piece", "crc"], "rank").select("id", "piece", "start", "length", "crc", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

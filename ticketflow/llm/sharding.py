@@ -17,7 +17,7 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.llm import tables
@@ -26,8 +26,6 @@ from ticketflow.llm import tables
 SHARDS, OVERHEAD = 40, 16
 #: Hex digits of a digest; of the first prefixes, and by how many they grow.
 DIGITS, FIRST, STEP = 32, 4, 1
-#: Buckets of rows for numbering them, in each shard.
-BUCKETS = 64
 
 
 @dataclass
@@ -175,17 +173,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     repeated rows each having one. Fewer groups than shards leave shards empty,
     and an empty table gives an empty result. Only doc_id and text are read.
     """
-    rows = tables.stored(keyed(docs), "keyed")
+    rows = tables.stored_runs(keyed(docs), "keyed")
     groups = tables.stored(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
     alone, cuts = cut_points(groups, shards)
     # the number of cuts at or below the key: cuts are prefixes, and a prefix sorts before its keys
     shard = sum(((F.col("key") >= c).cast("int") for c in cuts), F.lit(0))
     for i, key in enumerate(alone):
         shard = F.when(F.col("key") == key, F.lit(shards - 1 - i)).otherwise(shard)
-    placed = rows.withColumn("shard", shard).withColumn("bucket", F.pmod(F.xxhash64("id", "key"), F.lit(BUCKETS)))
-    counted = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "bucket").orderBy("id", "key")
-    numbered = placed.withColumn("nth", F.row_number().over(within)).join(base, ["shard", "bucket"])
-    return numbered.select("id", "key", "size", "crc", "shard", (F.col("base") + F.col("nth") - 1).alias("slot"))
+    numbered = tables.ranked(rows.withColumn("shard", shard), "shard", ["id", "key"], "slot")
+    return numbered.select("id", "key", "size", "crc", "shard", "slot")

@@ -8,12 +8,14 @@ many distinct shingles there are.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from hashlib import sha256
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.llm import tables, words
@@ -98,36 +100,65 @@ def from_text(text: str) -> np.ndarray:
 
 # Each document beside the next one
 
+#: Keys that are sampled for each part, to place its bounds: they decide how even the parts are, not the result.
+SAMPLED = 20
+KEY = "n boolean, i long, h long, r int"
+
+
+def _bounds(keys: DataFrame, parts: int, total: int) -> list:
+    """Up to parts - 1 keys that cut `total` keys evenly, ascending; the driver gets about SAMPLED keys a part."""
+    share = min(1.0, SAMPLED * parts / max(total, 1))
+    found = sorted(tuple(r.key) for r in keys.sample(share, seed=1).collect())
+    return [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+
+
+def _part(key: Column, bounds: list) -> Column:
+    """How many of the bounds lie at or below the key: found among every step-th, then among the step that follow."""
+    if not bounds:
+        return F.lit(0)
+    step = isqrt(len(bounds)) + 1
+
+    def listed(these: list) -> Column:
+        rows = [dict(zip("nihr", b)) for b in these]
+        return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{KEY}>>")
+
+    coarse = F.size(F.filter(listed(bounds[step - 1 :: step]), lambda b: b <= key)) if len(bounds) >= step else F.lit(0)
+    fine = F.filter(F.slice(listed(bounds), coarse * step + 1, step), lambda b: b <= key)
+    return coarse * step + F.size(fine)
+
 
 def beside_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, tail, id, text), each part in descending order of id, ended by the row after its last.
 
-    That row, marked as tail, is a copy of the first row of the next part; after the last part comes the
-    first. Texts are dealt out once, by part.
+    Rows of one id stand in the order of a hash of their texts. The last row, marked as tail, is a copy of the first row of the next part; after the last part comes the
+    first. Texts are dealt out once, a part to a task. An id that fills a part by itself is cut into several by that hash, and a text that still does by the
+    input partition that holds the row, which is the same when a lost task runs again.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), tables.text_of().alias("text"))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("id", shares, 10_000)).first()[0] or [])) if shares else []
-    # part 0 has the largest ids; null ids come last
-    below = F.array(*(F.lit(b) for b in bounds)) if bounds else F.array().cast("array<long>")
-    part = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(below, lambda b: b >= F.col("id"))))
-    dealt = rows.withColumn("part", part)
-    # the first row of each part: the largest id, and the first in code point order of its texts
-    firsts = dealt.groupBy("part").agg(F.max("id").alias("id")).orderBy("part").collect()
-    order = [r.part for r in firsts]
-    before = {p: order[i - 1] for i, p in enumerate(order)}
+    rows = rows.select("id", "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("run"))
+    last, place = F.col("id").isNull().alias("n"), F.coalesce(F.bitwise_not("id"), F.lit(0)).alias("i")
+    by_id = F.struct(last, place, F.lit(0).cast("long").alias("h"), F.lit(0).alias("r"))
+    total = docs.count()
+    key, bounds = by_id, _bounds(rows.select(by_id.alias("key")), parts, total)
+    if len(set(bounds)) < len(bounds) and total > SAMPLED * parts:  # an id of more than a part
+        key = F.struct(last, place, F.col("h").alias("h"), F.col("run").alias("r"))
+        bounds = _bounds(rows.select(key.alias("key")), parts, total)
+    dealt = rows.withColumn("key", key).withColumn("part", _part(F.col("key"), sorted(set(bounds))))
     # one row per part: as many as the shuffle has partitions
-    heads = docs.sparkSession.createDataFrame([(r.id, before[r.part]) for r in firsts], "first long, to int")
-    dealt = dealt.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("first")), "left")
-    copies = F.array(
-        F.struct(F.col("part"), F.lit(False).alias("tail")), F.struct(F.col("to").alias("part"), F.lit(True).alias("tail"))
-    )
+    firsts = dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()
+    order = [r.part for r in firsts]
+    heads = [(r.part, order[i - 1], r.key) for i, r in enumerate(firsts)]
+    heads = docs.sparkSession.createDataFrame(heads, f"part int, to int, first struct<{KEY}>")
+    dealt = dealt.join(F.broadcast(heads), "part", "left")
+    here = F.struct(F.col("part"), F.lit(False).alias("tail"))
+    copy = F.struct(F.col("to").alias("part"), F.lit(True).alias("tail"))
+    copies = F.when(F.col("key") == F.col("first"), F.array(here, copy)).otherwise(F.array(here))
     return (
         dealt.withColumn("copy", F.explode(copies))
-        .select("copy.part", "copy.tail", "id", "text")
-        .filter("part is not null")
-        .repartition(parts, "part")
-        .sortWithinPartitions("part", "tail", F.desc_nulls_last("id"), "text")
+        .select("copy.part", "copy.tail", "id", "text", "h")
+        .repartitionById(parts, "part")
+        .sortWithinPartitions("part", "tail", F.desc_nulls_last("id"), "h", "text")
+        .drop("h")
     )
 
 
@@ -136,7 +167,7 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, kept: int = KEPT, parts: i
 
     The edited text has the last third of its code points replaced by as many from the start of the next
     document, in descending doc_id; null text is empty, a null id comes last, rows of one
-    id stand in the order of their texts, and after the last row comes the first. One row is
+    id stand in the order of a hash of their texts, and after the last row comes the first. One row is
     its own next. Columns other than doc_id and text are not read.
     """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketflow.session import shared_folder
@@ -24,6 +24,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored_runs(df: DataFrame, name: str) -> DataFrame:
+    """As stored, with `run`: the number of the task that wrote the row."""
+    return stored(df.withColumn("run", F.spark_partition_id()), name)
+
+
+def ranked(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """rows of stored_runs with `name`: 0, 1, ... among those of one `by`.
+
+    Rows are numbered by run and then in the given order; what differs in none of its columns may be numbered either way. However many rows
+    share a value, or all their columns, a task orders only those that one task wrote.
+    """
+    counted = rows.groupBy(by, "run").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.select(by, "run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy(by, "run").orderBy(*order))
+    numbered = rows.withColumn("_nth", nth).join(base, [by, "run"])
+    return numbered.withColumn(name, F.col("_base") + F.col("_nth") - 1).drop("_base", "_nth", "run")
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
