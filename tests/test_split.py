@@ -99,3 +99,32 @@ def test_nulls_in_a_key_are_told_apart(spark):
     rows = [(1, None, 2), (1, 2, None), (None, 1, 2)]
     df = spark.createDataFrame(rows, "a int, b int, c int")
     assert df.select(hash_hex(1, "t", "a", "b", "c").alias("h")).distinct().count() == 3
+
+
+def test_any_number_of_classes(spark, monkeypatch):
+    """20,000 classes, ordered by several tasks: the shares are those of the plain rule, equal remainders in class order."""
+    monkeypatch.setattr(split, "CLASSES", 3_000)
+    sizes = {c: 2 + c * c % 5 for c in range(20_000)}
+    rows = spark.range(20_000).select(F.col("id").alias("category"), F.explode(F.sequence(F.lit(1), 2 + F.col("id") * F.col("id") % 5)).alias("nth"))
+    total = sum(sizes.values())
+    cut = split.stratified_split(rows, test_size="0.5", key=["category", "nth"])
+    got = {r.category: r.n for r in cut.filter("split = 'train'").groupBy("category").agg(F.count("*").alias("n")).collect()}
+    want = dict(zip(sizes, split.largest_remainder(list(sizes.values()), total - -(-total // 2))))
+    assert {c: got.get(c, 0) for c in sizes} == want
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.count() == total and "LocalRelation" not in plan
+
+
+@pytest.mark.parametrize("sizes", [[3, 3, 3, 3, 3, 3, 3], [2, 9, 4, 10**12, 31, 10**12 + 1], [5]])
+@pytest.mark.parametrize("share", ["0.3", "0.5"])
+def test_allotted_equals_the_plain_rule(spark, sizes, share, monkeypatch):
+    monkeypatch.setattr(split, "CLASSES", 2)
+    classes = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "_class int, _place long, _n long")
+    total = sum(sizes)
+    draws = total - split.math.ceil(split.Decimal(share) * total)
+    if min(draws, total - draws) < len(sizes):
+        with pytest.raises(ValueError):
+            split.allotted(classes, split.Decimal(share), "k")
+    else:
+        got = {r._class: r.k for r in split.allotted(classes, split.Decimal(share), "k").collect()}
+        assert [got[i] for i in range(len(sizes))] == split.largest_remainder(sizes, draws)

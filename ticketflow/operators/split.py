@@ -3,7 +3,8 @@
 Rows are ordered by a keyed hash inside their class and cut at the class
 allocation. The cut is found in two key-only scans: bucket counts say how many
 rows a class has and which hash bucket holds the cut, and only that bucket's
-rows are ranked. The hash at each
+rows are ranked. Shares are allotted by Spark, as there may be any number of
+classes. The hash at each
 cut, one value per class, is then all that a split is: rows are labelled where
 they are, by comparing their hash with it, and using the result again costs
 nothing but its scan.
@@ -13,9 +14,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 from decimal import Decimal
 
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ from ticketflow.fixed_values import SEED
 from ticketflow.functions.draws import hash_hex
 from ticketflow.operators.rank import bucket
 from ticketflow.schema import MAX_INLINE_ROWS, inline_table
+from ticketflow.session import written
 
-MAX_CLASSES = MAX_INLINE_ROWS // 2
+#: Classes that one task puts in order, and tasks that do so at most.
+CLASSES, RANGES = 10_000, 64
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 
@@ -40,17 +43,45 @@ def largest_remainder(counts: Sequence[int], draws: int) -> list[int]:
     return base
 
 
-def two_way(counts: Sequence[int], test_size: Decimal) -> list[int]:
-    """Rows per class that stay on the first side. Raises ValueError where an
-    exact stratified split is impossible."""
-    total = sum(counts)
+def first_side(total: int, classes: int, smallest: int, test_size: Decimal) -> int:
+    """Rows that stay on the first side. Raises ValueError where an exact stratified split is impossible."""
     n_test = math.ceil(test_size * total)
     n_train = total - n_test
-    if counts and min(counts) < 2:
+    if classes and smallest < 2:
         raise ValueError("every class needs at least 2 rows")
-    if min(n_train, n_test) < max(len(counts), 1):
-        raise ValueError(f"sides of {n_train} and {n_test} rows cannot hold {len(counts)} classes")
-    return largest_remainder(counts, n_train)
+    if min(n_train, n_test) < max(classes, 1):
+        raise ValueError(f"sides of {n_train} and {n_test} rows cannot hold {classes} classes")
+    return n_train
+
+
+def allotted(classes: DataFrame, test_size: Decimal, name: str, n: str = "_n") -> DataFrame:
+    """``classes`` with ``name``, the share of each on the first side: `largest_remainder` of any number of classes.
+
+    ``_class, _place`` and ``n`` are read. Classes are written in the order of their remainders, range by range; a class
+    is among the first if its place in its range and the sizes of the ranges before say so.
+    """
+    sums = classes.agg(F.sum(n), F.count(F.lit(1)), F.min(n)).first()
+    total, found = sums[0] or 0, sums[1]
+    draws = first_side(total, found, sums[2] or 0, test_size)
+    wide = "decimal(19,0)"
+    exact = F.col(n).cast(wide) * F.lit(draws).cast(wide)
+    whole = F.lit(total).cast(wide)
+    shares = classes.withColumn("_rest", exact % whole).withColumn("_base", ((exact - F.col("_rest")) / whole).cast("long"))
+    order = [F.desc("_rest"), F.asc("_place"), F.asc_nulls_last("_class")]
+    ranges = min(RANGES, found // CLASSES + 1)
+    ordered = shares.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the number of the task, and the place in it
+    ordered = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "shares")
+    task = F.shiftright("_at", 33).cast("int")
+    sizes = [0] * ranges
+    base = 0
+    for r in ordered.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum("_base").alias("base")).collect():
+        sizes[r.task] = r.n
+        base += r.base
+    before = F.get(F.array(*[F.lit(k) for k in accumulate([0, *sizes[:-1]])]), task)
+    rank = before + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    more = (rank < draws - base).cast("long")
+    return ordered.withColumn(name, F.col("_base") + more).drop("_rest", "_base", "_at")
 
 
 def bucket_counts(df: DataFrame, strat: str, h: Column) -> DataFrame:
@@ -62,72 +93,68 @@ def bucket_counts(df: DataFrame, strat: str, h: Column) -> DataFrame:
     return counts.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def stratum_counts(counts: DataFrame, labels: Sequence[str] | None = None) -> dict:
-    """Rows per class on the driver, in label order; refuses a column that is
-    no class column."""
-    rows = counts.groupBy("_class").agg(F.sum("_size").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    place = {name: i for i, name in enumerate(labels or ())}
-    rows.sort(key=lambda r: (place.get(r[0], len(place)), r[0] is None, r[0] if r[0] is not None else 0))
-    return {r[0]: r["n"] for r in rows}
+def class_sizes(counts: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """``_class, _n, _place``: rows per class, and its place in ``labels``; others stand behind them."""
+    place = F.lit(0)
+    if labels:
+        at = F.array_position(F.array(*[F.lit(name) for name in labels]), F.col("_class"))
+        place = F.when(at > 0, at).otherwise(F.lit(len(labels) + 1))
+    return counts.groupBy("_class").agg(F.sum("_size").alias("_n")).withColumn("_place", place.cast("long"))
 
 
-def _cut_hashes(keys: DataFrame, counts: DataFrame, cuts: dict[str, dict]) -> dict:
-    """{(cut, class): hash of the last row before the cut} from ``_class, _h``.
+def _cut_hashes(keys: DataFrame, counts: DataFrame, classes: DataFrame, cuts: Sequence[str]) -> DataFrame:
+    """``_class`` and, per cut, ``_<cut>``: the hash of the last row before it, from ``_class, _h``.
 
-    ``cuts`` maps a cut name to {class: rows before the cut}. Raises ValueError
-    if the next row has the same hash: then the key repeats, and the side would
+    ``classes`` has, per cut, the rows before it; without any, the hash is null, or the class missing. Raises
+    ValueError if the next row has the same hash: then the key repeats, and the side would
     be larger than asked for.
     """
-    flat = [(name, value, n) for name, by in cuts.items() for value, n in by.items() if n > 0]
-    wanted = _per_class(
-        keys,
-        [f[1] for f in flat],
-        _cut=pa.array([f[0] for f in flat], pa.string()),
-        _n=pa.array([f[2] for f in flat], pa.int64()),
-    )
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("_cut"), F.col(c).alias("_upto")) for c in cuts])).alias("c")
+    wanted = classes.select("_class", each).select("_class", "c.*").filter("_upto > 0")
     earlier = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bounds = counts.withColumn("_below", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     at_cut = (
         bounds.alias("b")
-        .join(F.broadcast(wanted.alias("w")), F.expr("b._class <=> w._class"))
-        .filter("w._n > b._below and w._n <= b._below + b._size")
-        .selectExpr("w._cut", "b._class", "b._bucket", "w._n - b._below as _nth")
+        .join(wanted.alias("w"), F.expr("b._class <=> w._class"))
+        .filter("w._upto > b._below and w._upto <= b._below + b._size")
+        .selectExpr("w._cut", "b._class", "b._bucket", "w._upto - b._below as _nth")
     )
+    # its size is known once written: below Spark's bound it is broadcast, else joined by class and bucket
+    at_cut = written(at_cut, "cuts")
     in_bucket = Window.partitionBy("_cut", "_class").orderBy("_h")
     found = (
         keys.withColumn("_bucket", bucket(F.col("_h"))).alias("k")
-        .join(F.broadcast(at_cut.alias("c")), F.expr("k._class <=> c._class and k._bucket = c._bucket"))
+        .join(at_cut.alias("c"), F.expr("k._class <=> c._class and k._bucket = c._bucket"))
         .select("c._cut", "k._class", "k._h", "c._nth")
         .withColumn("_next", F.lead("_h").over(in_bucket))
         .withColumn("_rank", F.row_number().over(in_bucket))
         .filter("_rank = _nth")
-        .collect()
     )
-    if any(r["_h"] == r["_next"] for r in found):
+    hashes = [F.max(F.when(F.col("_cut") == c, F.col("_h"))).alias(f"_{c}") for c in cuts]
+    repeats = F.max(F.coalesce(F.col("_h") == F.col("_next"), F.lit(False))).alias("_repeats")
+    ends = written(found.groupBy("_class").agg(*hashes, repeats), "ends")
+    if ends.filter("_repeats").limit(1).count():
         raise ValueError("the key does not identify rows: it repeats at a cut")
-    return {(r["_cut"], r["_class"]): r["_h"] for r in found}
+    return ends.drop("_repeats")
 
 
-def _per_class(keys: DataFrame, classes: list, **columns: pa.Array) -> DataFrame:
-    """An inline table by class, with the class in the type it has in ``keys``."""
-    table = inline_table(keys.sparkSession, {"_class": pa.array(classes), **columns})
-    return table.withColumn("_class", F.col("_class").cast(keys.schema["_class"].dataType))
+def _small(ends: DataFrame) -> DataFrame:
+    """A table of few rows as an inline one to broadcast; a larger one as it is."""
+    rows = ends.limit(MAX_INLINE_ROWS + 1).toArrow()
+    if rows.num_rows > MAX_INLINE_ROWS:
+        return ends
+    table = inline_table(ends.sparkSession, {c: rows.column(c).combine_chunks() for c in rows.column_names})
+    return F.broadcast(table.withColumn("_class", F.col("_class").cast(ends.schema["_class"].dataType)))
 
 
-def _assign(df: DataFrame, strat: str, h: Column, counts: DataFrame, cuts: dict[str, dict], last: str):
+def _assign(df: DataFrame, strat: str, h: Column, counts: DataFrame, classes: DataFrame, cuts: Sequence[str], last: str):
     keys = df.select(F.col(strat).alias("_class"), h.alias("_h"))
-    found = _cut_hashes(keys, counts, cuts)
+    ends = _cut_hashes(keys, counts, classes, cuts)
     counts.unpersist()
-    classes = list(next(iter(cuts.values())))
-    ends = _per_class(
-        keys, classes, **{f"_{name}": pa.array([found.get((name, c)) for c in classes], pa.string()) for name in cuts}
-    )
     side = " ".join(f"WHEN _h <= _{name} THEN '{name}'" for name in cuts)
     return (
         df.withColumn("_h", h)
-        .join(F.broadcast(ends), F.col(strat).eqNullSafe(F.col("_class")), "left")
+        .join(_small(ends), F.col(strat).eqNullSafe(F.col("_class")), "left")
         .withColumn("split", F.expr(f"CASE {side} ELSE '{last}' END"))
         .drop("_class", "_h", *[f"_{name}" for name in cuts])
     )
@@ -152,9 +179,8 @@ def stratified_split(
     """
     h = hash_hex(seed, "split", *_keys(key))
     buckets = bucket_counts(df, strat, h)
-    counts = stratum_counts(buckets, labels)
-    train = dict(zip(counts, two_way(list(counts.values()), Decimal(test_size))))
-    return _assign(df, strat, h, buckets, {TRAIN: train}, TEST)
+    classes = allotted(class_sizes(buckets, labels), Decimal(test_size), TRAIN)
+    return _assign(df, strat, h, buckets, classes, [TRAIN], TEST)
 
 
 def train_val_test_split(
@@ -170,9 +196,8 @@ def train_val_test_split(
     leave the training side, and ``test_share`` of those become the test."""
     h = hash_hex(seed, "split", *_keys(key))
     buckets = bucket_counts(df, strat, h)
-    counts = stratum_counts(buckets, labels)
-    train = dict(zip(counts, two_way(list(counts.values()), Decimal(held_out))))
-    rest = {c: counts[c] - train[c] for c in counts}
-    validation = dict(zip(rest, two_way(list(rest.values()), Decimal(test_share))))
-    upto = {c: train[c] + validation[c] for c in counts}
-    return _assign(df, strat, h, buckets, {TRAIN: train, VALIDATION: upto}, TEST)
+    classes = allotted(class_sizes(buckets, labels), Decimal(held_out), TRAIN)
+    rest = classes.withColumn("_rest_n", F.col("_n") - F.col(TRAIN))
+    upto = allotted(rest, Decimal(test_share), VALIDATION, "_rest_n")
+    upto = upto.withColumn(VALIDATION, F.col(TRAIN) + F.col(VALIDATION))
+    return _assign(df, strat, h, buckets, upto, [TRAIN, VALIDATION], TEST)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "ticketflow", **conf: str) -> SparkSession:
@@ -36,3 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="ticketflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ticketflow-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written below the shared folder and read again: its size is known then, and lost executors don't matter."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
