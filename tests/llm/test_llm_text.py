@@ -379,3 +379,40 @@ def test_long_urls_do_not_explode(spark):
     tokens = rows.select("page_id", urls.host_of().alias("host"), urls.path_of().alias("path")).select(urls.tokens().alias("tokens"), (F.col("page_id") >= 11_000).alias("good"))
     rules = urls.mine(tokens.select("tokens", F.when(F.col("good") | F.exists("tokens", lambda t: t == "h1:long"), "allow").otherwise("block").alias("verdict"))).collect()
     assert any(len(r.tokens) > 25 and r.verdict == "block" for r in rules) and len(rules) < 10
+
+
+def test_rules_are_judged_against_the_share_of_their_label(spark):
+    """Few urls are bad: a host with mostly bad ones is blocked, though far below the confidence for all; chance makes no rule."""
+    rng = random.Random(11)
+    pages, bad = [], []
+    for i in range(3_000):
+        spam = i % 25 == 0
+        pages.append((i, f"http://{'cheap.info' if spam else rng.choice('abcdef') + '.org'}/{rng.choice('uvwxyz')}/{i}"))
+        bad.append((i, rng.random() < (0.75 if spam else 0.06)))
+    rows = spark.createDataFrame(pages, "page_id long, url string").cache()
+    labels = spark.createDataFrame(bad, "id long, bad boolean")
+    got = urls.judged(rows, labels, rules=()).groupBy("host", "verdict").agg(F.count("*").alias("n")).collect()
+    assert {r.host: r.n for r in got if r.verdict == "block"} == {"cheap.info": 120}
+    assert sum(r.n for r in got) == 3_000
+    shuffled = [b for _, b in bad]
+    rng.shuffle(shuffled)
+    chance = spark.createDataFrame([(i, b) for i, b in enumerate(shuffled)], "id long, bad boolean")
+    assert urls.judged(rows, chance, rules=()).filter("matched is not null").count() == 0
+
+
+def test_url_query(spark):
+    """The query's hosts, paths and stated rules by plain Python, for every page."""
+    folder = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    stated = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
+    want = Counter()
+    for page in pages:
+        after = (page.url or "").partition("://")[2].partition("#")[0].partition("?")[0]
+        host, slash, path = after.partition("/")
+        host, path = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
+        fits = [h + p for h, p in stated if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[(page.page_id, host, path, max(fits, key=len, default=None))] += 1
+    got = QUERIES["op3_urls"](spark, folder).collect()
+    assert Counter((r.page_id, r.host, r.path, r.rule) for r in got) == want
+    says = {h + p: v for (h, p), v in stated.items()}
+    assert all(r.verdict == says[r.rule] if r.rule else r.verdict in ("allow", "block") for r in got)

@@ -17,6 +17,10 @@ from ticketflow.llm import tables
 
 #: Production parameters of mining: share of the distinct labelled urls, and number of them at least; confidence.
 SUPPORT, LEAST, CONFIDENCE = 0.002, 20, 0.9
+#: A rule below that confidence stands if its label is the likelier one and comes so many times as often as among all urls.
+LIKELIER, LIFT = 0.5, 2.0
+#: Standard errors that a rule's confidence is above the share of its label.
+ERRORS = 3.0
 
 
 @dataclass(frozen=True)
@@ -121,6 +125,25 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return tables.stored(whole.join(covered.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti"), "pruned")
 
 
+def surprising(rules: DataFrame, labelled: DataFrame, confidence: float = CONFIDENCE, lift: float = LIFT, errors: float = ERRORS) -> DataFrame:
+    """The rules that say more than the share of their verdict among the distinct labelled(tokens, verdict).
+
+    The lower end of a rule's confidence, by Wilson's interval of `errors` standard errors, must be above that share;
+    the confidence itself must be `confidence` or more, or `lift` times the share. A part of a rule with at least its confidence has more urls, so a rule
+    that stands is never one that a dropped shorter one covered.
+    """
+    urls = labelled.filter(F.size("tokens") > 0).distinct()
+    total = urls.count()
+    if not total:
+        return rules
+    shares = urls.groupBy("verdict").agg((F.count(F.lit(1)) / total).alias("share"))
+    p, n, z = F.col("confidence"), F.col("support") * total / F.col("confidence"), errors
+    spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    low = (p + z * z / (2 * n) - spread) / (1 + z * z / n)
+    known = rules.join(shares, "verdict").filter((low > F.col("share")) & ((p >= confidence) | (p >= lift * F.col("share"))))
+    return known.select(*rules.columns)
+
+
 def indexed(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """rules with `key`, the token of each that the fewest urls have."""
     often = urls.select(F.explode("tokens").alias("token")).groupBy("token").count()
@@ -151,14 +174,15 @@ def judged(
     """Per row of pages: page_id, host, path, rule, verdict, matched.
 
     Urls that a stated rule fits get its verdict. The others are judged by rules mined from labels(id,
-    bad), id being a page_id, and allowed if none fits; a null label is none. A null url, or one without
+    bad), id being a page_id, that say more than the share of their label, and allowed if none fits; a null label is none. A null url, or one without
     ://, has an empty host and path. Repeated rows are judged alike, and ids with several labels
     count with each; an empty table gives an empty result. Only page_id and url are read.
     """
     urls = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
     urls = tables.stored(urls.select("*", stated(rules).alias("said"), tokens().alias("tokens")), "urls")
     known = labels.filter("bad is not null").select("id", F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
-    mined = mine(urls.join(known, F.col("page_id") == F.col("id")).select("tokens", "verdict"), support, confidence)
+    labelled = tables.stored(urls.join(known, F.col("page_id") == F.col("id")).select("tokens", "verdict"), "labelled")
+    mined = surprising(mine(labelled, support, min(confidence, LIKELIER)), labelled, confidence)
     open_ = urls.filter("said is null")
     found = matched(open_, mined).withColumnsRenamed({"tokens": "of", "verdict": "mined"})
     both = urls.join(found, F.col("said").isNull() & (F.col("tokens") == F.col("of")), "left")
