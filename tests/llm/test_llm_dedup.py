@@ -3,6 +3,7 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -120,6 +121,25 @@ def test_links_span_all_pairs(spark):
     assert [roots.get(s[0], s[0]) for s in signed] == want
 
 
+@pytest.mark.parametrize("again", [4, 64])
+def test_large_leaves_are_dealt_again(spark, monkeypatch, again):
+    """A shared tree of 2 leaves, then trees of their own: the same links as brute force, and no leaf is left too large."""
+    monkeypatch.setattr(simhash, "AGAIN", again)
+    rng = random.Random(2)
+    values = [rng.getrandbits(64) for _ in range(2_000)]
+    values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values[:500]]
+    values += [values[0] ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)]
+    values = sorted(set(values))
+    signed = [(v - 2**64 if v >= 2**63 else v,) for v in values]
+    fps = spark.createDataFrame(signed, "fp long").repartition(5)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(fps, 2, leaf=20, sample=16)).collect()}
+    assert [roots.get(s[0], s[0]) for s in signed] == groups([(s[0], v) for s, v in zip(signed, values)], 2)
+    one = fps.select(F.lit(0).cast("long").alias("leaf"), F.lit(True).alias("home"), "fp")
+    cut = simhash.dealt_again(one, 2, 20, 64)
+    sizes = [r.n for r in cut.filter("home").groupBy("round", "leaf").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(values) and max(sizes) <= 80 and len(sizes) > 40
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 200)]
     got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -5,12 +5,15 @@ the Hamming distance to a vantage fingerprint. A fingerprint lives in one leaf,
 is sent as a query to each later leaf that can hold a fingerprint within the
 radius: by the triangle inequality those whose side of every threshold is met
 within the radius. A leaf searches its own part by more such nodes, and returns
-links that span the groups it found instead of all pairs.
+links that span the groups it found instead of all pairs. Where the shared tree would have more
+leaves than its sample can cut, its leaves are dealt again, each by a tree of its own sample, until they are small.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ SHINGLE, RADIUS = 3, 2
 #: Fingerprints wanted in a leaf, the largest sample that the shared tree is grown from,
 #: and how many of a leaf are compared directly.
 LEAF, SAMPLE, DIRECT = 8_192, 16_384, 256
+#: Into how many leaves one that is too large is dealt at most, and how many times LEAF is too large.
+AGAIN, LARGE = 64, 4
 SEED = 42
 
 
@@ -98,8 +103,10 @@ def grow(sample: np.ndarray, leaves: int, rng: np.random.Generator):
     return (*node, grow(sample[near], leaves - half, rng), grow(sample[~near], half, rng))
 
 
-def route(tree, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, leaf, home) of every leaf that a fingerprint lives in or must be asked in."""
+def route(tree, fps: np.ndarray, radius: int, here: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, leaf, home) of every leaf that a fingerprint lives in or must be asked in.
+
+    here: which of fps live in the tree at all; the others are asked in every leaf that they can reach."""
     found, count = [], 0
 
     def walk(node, rows, home):
@@ -114,9 +121,9 @@ def route(tree, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, n
         walk(near, rows[to_near], home[to_near] & (d <= threshold)[to_near])
         walk(far, rows[to_far], home[to_far] & (d > threshold)[to_far])
 
-    walk(tree, np.arange(len(fps)), np.ones(len(fps), bool))
+    walk(tree, np.arange(len(fps)), np.ones(len(fps), bool) if here is None else here)
     rows, leaf, home = (np.concatenate(x) for x in zip(*found))
-    lives = np.zeros(len(fps), np.int64)
+    lives = np.full(len(fps), -1, np.int64)
     lives[rows[home]] = leaf[home]
     later = home | (leaf > lives[rows])  # of two leaves, the earlier one's fingerprints are sent
     return rows[later], leaf[later], home[later]
@@ -167,25 +174,68 @@ class Forest:
         return self.values[child], self.values[self.parent[child]]
 
 
+def dealt_again(dealt: DataFrame, radius: int, leaf: int, sample: int) -> DataFrame:
+    """dealt(leaf, home, fp) with every leaf of more than LARGE times `leaf` fingerprints cut into up to AGAIN leaves.
+
+    A round gives each large leaf a tree grown from a sample of its own, of about `sample` fingerprints, in one task of
+    that size; the tree travels with the rows of its leaf. A leaf has the number of its parent times AGAIN plus its place, so numbers
+    of one round are its own, and small leaves keep theirs apart by the round. Rounds end when no leaf is too large, or none of the large can be cut.
+    """
+    numbers = "round int, leaf long, home boolean, fp long"
+
+    def grown(key, table):
+        fps = table.column("fp").to_numpy().view(np.uint64)
+        wanted = min(AGAIN, -(-table.column("n")[0].as_py() // leaf))
+        tree = grow(np.sort(fps), wanted, np.random.default_rng(SEED))
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves, at = np.unique(batch.column("leaf").to_numpy(), return_inverse=True)
+            fps, home = batch.column("fp").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
+            number = batch.column("round").to_numpy()
+            for i, parent in enumerate(leaves.tolist()):
+                mine = np.flatnonzero(at == i)
+                tree = pickle.loads(batch.column("tree")[int(mine[0])].as_py())
+                rows, child, lives = route(tree, fps[mine].view(np.uint64), radius, home[mine])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number[mine[rows]] + np.int32(1)), pa.array(parent * AGAIN + child), pa.array(lives), pa.array(fps[mine[rows]])],
+                    ["round", "leaf", "home", "fp"],
+                )
+
+    done, now, before = [], dealt.withColumn("round", F.lit(0)).select("round", "leaf", "home", "fp"), None
+    while True:
+        now = tables.stored(now, "dealt")
+        sizes = now.filter("home").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE * leaf)
+        sizes = tables.stored(sizes, "large")
+        largest = sizes.agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
+        if not largest[0] or largest == before:
+            return reduce(DataFrame.unionByName, done, now)
+        before = largest
+        some = now.filter("home").join(sizes, "leaf").filter(F.pmod(F.xxhash64("fp"), F.col("n")) < sample)
+        trees = tables.stored(some.groupBy("leaf").applyInArrow(grown, "leaf long, tree binary"), "trees")
+        done.append(now.join(sizes, "leaf", "left_anti").select("round", "leaf", "home", "fp"))
+        now = now.join(trees, "leaf").select("round", "leaf", "home", "fp", "tree").mapInArrow(deal, numbers)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """fps(fp), distinct, to links (a, b) whose components are those of all pairs within the radius.
 
-    The driver sees a sample of at most `sample` fingerprints, for the vantages. Every
-    fingerprint is searched, and the result does not depend on the sample.
+    The driver sees a sample of at most `sample` fingerprints, for the vantages of the shared tree. Every
+    fingerprint is searched, and the result does not depend on the samples.
     """
     total = fps.count()
     some = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     seen = np.array([r.fp for r in some], np.int64).view(np.uint64)
-    tree = grow(seen, min(-(-total // leaf), max(1, sample // 8)), np.random.default_rng(SEED))
+    wanted, most = -(-total // leaf), max(1, sample // 8)
+    tree = grow(seen, min(wanted, most), np.random.default_rng(SEED))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("fp").to_numpy()
             if len(values):
                 rows, at, home = route(tree, values.view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at.astype(np.int32)), pa.array(home), pa.array(values[rows])], ["leaf", "home", "fp"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(home), pa.array(values[rows])], ["leaf", "home", "fp"])
 
     def search(key, table):
         values = table.column("fp").to_numpy().view(np.uint64)
@@ -196,7 +246,9 @@ def links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int =
         a, b = forest.links()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "leaf int, home boolean, fp long")
+    dealt = fps.select("fp").mapInArrow(deal, "leaf long, home boolean, fp long")
+    if wanted > most:
+        return dealt_again(dealt, radius, leaf, sample).groupBy("round", "leaf").applyInArrow(search, "a long, b long")
     return dealt.groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
