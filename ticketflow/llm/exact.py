@@ -1,8 +1,7 @@
 """Exact duplicates, by merging sorted runs of digests in rounds.
 
-Every row gives a record: digest, length, a second hash, a count of one and its id. A run is what one slice of the rows made, sorted by
-digest (Spark's sort aggregate);
-in a round, `fan` neighbouring runs go to one receiver, which merges equal
+Every row gives a record: digest, length, a second hash, a count of one and its id. A run is what one task wrote, sorted by
+digest. In a round, `fan` neighbouring runs go to one receiver, which merges equal
 records and keeps one identifier, so a group of copies is never larger than the
 number of runs of the round before. Records are dealt out by (receiver, digest),
 so no round has a task for all records.
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ticketflow.llm import tables
 
-#: Runs of the first round and the number that one receiver merges. A group of n
-#: copies enters the second round as 256 records at most.
-RUNS, FAN = 256, 16
+#: Runs that one receiver merges. Every round moves all distinct records once: with 2 there would be
+#: four times as many rounds (14 instead of 4 for 10,000 tasks) for the same result.
+FAN = 16
 
 KEY = ["digest", "bytes", "proof"]
 
@@ -38,33 +37,41 @@ def records(docs: DataFrame) -> DataFrame:
     )
 
 
+def sorted_runs(docs: DataFrame) -> DataFrame:
+    """The records, written with `run`, the number of the task that wrote them, each run in the order of its keys."""
+    return tables.stored_runs(records(docs).sortWithinPartitions(*KEY), "digests")
+
+
 def _merged(run: Column, runs: DataFrame, n: Column, keep: Column) -> DataFrame:
     return runs.groupBy(run.alias("run"), *KEY).agg(n.alias("n"), keep.alias("keep"))
 
 
-def merge_runs(rows: DataFrame, runs: int = RUNS, fan: int = FAN, largest: bool = True) -> DataFrame:
-    """One record per distinct text: its key, n and keep(id, row), the row that stays.
+def merge_runs(rows: DataFrame, fan: int = FAN, largest: bool = True) -> DataFrame:
+    """rows of sorted_runs to one record per distinct text: its key, n and keep(id, row), the row that stays.
 
     The row with the largest id stays (or the smallest); of repeated rows with one
     id, one. Null ids come last in either order.
     """
     best = F.max if largest else F.min
     claim = F.struct(F.col("id").isNull() if not largest else F.col("id").isNotNull(), "id", "row")
-    level = _merged(F.pmod(F.xxhash64("row"), F.lit(runs)), rows, F.count(F.lit(1)), best(claim))
-    while runs > 1:
+    runs = 1 + (rows.agg(F.max("run")).first()[0] or 0)
+    level, n, keep = rows, F.count(F.lit(1)), best(claim)
+    while True:
         runs = -(-runs // fan)
-        level = _merged(F.floor(F.col("run") / fan), level, F.sum("n"), best("keep"))
-    return level.drop("run")
+        level = _merged(F.floor(F.col("run") / fan), level, n, keep)
+        if runs == 1:
+            return level.drop("run")
+        n, keep = F.sum("n"), best("keep")
 
 
-def exact_groups(docs: DataFrame, runs: int = RUNS, fan: int = FAN, largest: bool = True) -> DataFrame:
+def exact_groups(docs: DataFrame, fan: int = FAN, largest: bool = True) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. Repeated rows are copies of each other: one of them
     is kept. An empty table gives an empty result. Other columns are not read.
     """
-    rows = tables.stored(records(docs), "digests")
-    groups = merge_runs(rows, runs, fan, largest)
+    rows = sorted_runs(docs)
+    groups = merge_runs(rows, fan, largest)
     joined = rows.join(groups, KEY)
     return joined.select(
         F.col("id").alias("doc_id"),
@@ -75,13 +82,14 @@ def exact_groups(docs: DataFrame, runs: int = RUNS, fan: int = FAN, largest: boo
     )
 
 
-def drop_copies(docs: DataFrame, runs: int = RUNS, fan: int = FAN, largest: bool = True) -> DataFrame:
+def drop_copies(docs: DataFrame, fan: int = FAN, largest: bool = True) -> DataFrame:
     """docs with one row of each distinct text, in all its columns.
 
-    Only ids and digests are merged; texts move once, dealt out by id and digest.
+    Only ids and digests are merged; texts move once, dealt out by id and digest. Null and empty texts are one text;
+    an empty table gives an empty one.
     """
-    rows = tables.stored(records(docs), "digests")
-    groups = merge_runs(rows, runs, fan, largest)
+    rows = sorted_runs(docs)
+    groups = merge_runs(rows, fan, largest)
     kept = tables.stored(groups.select(F.col("keep.id").alias("id"), "digest"), "kept")
     repeated = rows.groupBy("id", "digest").count().filter("count > 1").limit(1).count() > 0
 
