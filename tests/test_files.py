@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ticketflow.operators import score
@@ -32,6 +33,52 @@ def test_reads_what_pandas_writes(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect()) == rows
 
 
+BROKEN = """id,text,category,annotator_confidence
+1,fits,a,3
+two,"an id, that is none",a,4
+3,no number,a,often
+4,too short,a
+5,too long,a,3,4
+6,"over two
+lines",b,2
+7,,b,
+"""
+
+
+def test_refused_rows_are_told_apart(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(BROKEN)
+    path = str(tmp_path / "t.csv")
+    rows, refused = files.read_checked(spark, path)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "fits", "a", 3), (6, "over two\nlines", "b", 2), (7, None, "b", None)]
+    found = {r.text: r for r in refused.collect()}
+    assert set(found) == {"an id, that is none", "no number", "too short", "too long"}
+    assert found["an id, that is none"].id is None and found["an id, that is none"].annotator_confidence == 4
+    assert found["no number"].id == 3 and found["no number"].annotator_confidence is None
+    assert found["too short"][files.REFUSED].strip() == "4,too short,a"
+    assert (rows.count(), refused.count(), refused.select(files.REFUSED).count()) == (3, 4, 4)
+    # the plain read gives nulls, a strict one fails, whichever columns are asked for
+    assert files.read_tickets(spark, path).count() == 7
+    for columns in (["text"], files.TICKET.names):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            files.read_tickets(spark, path, strict=True).select(*columns).collect()
+
+
+def test_strict_reads(spark, tmp_path):
+    rows = [(i, t, "a", 3) for i, t in enumerate(ODD)]
+    files.write_tickets(spark.createDataFrame(rows, files.TICKET), str(tmp_path / "good"), "csv")
+    assert sorted(tuple(r) for r in files.read_tickets(spark, str(tmp_path / "good"), strict=True).collect()) == rows
+    (tmp_path / "names.csv").write_text("id,body,category,annotator_confidence\n1,x,a,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_tickets(spark, str(tmp_path / "names.csv"), strict=True).collect()
+    (tmp_path / "t.json").write_text('{"id": 1, "text": "x"}\n{"id": "one", "text": "y"}\n{"id": 2, "te\n')
+    good, refused = files.read_checked(spark, str(tmp_path / "t.json"), "json")
+    assert [r.id for r in good.collect()] == [1] and refused.count() == 2
+    (tmp_path / "none.csv").write_text("id,text,category,annotator_confidence\n")
+    assert [df.count() for df in files.read_checked(spark, str(tmp_path / "none.csv"))] == [0, 0]
+    with pytest.raises(ValueError):
+        files.read_checked(spark, str(tmp_path / "good"), "parquet")
+
+
 def test_other_formats(spark, tickets, tmp_path):
     small = tickets.select(*files.TICKET.names).limit(50)
     for fmt in ("parquet", "json", "orc"):

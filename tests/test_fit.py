@@ -162,6 +162,24 @@ def test_external_model(spark):
         assert r.confidence == pytest.approx(1 / (1 + math.exp(-2 * abs(r.x))))
 
 
+def test_user_figures_of_every_round(spark):
+    rows = [(f"red apple {i}", "a") for i in range(30)] + [(f"blue plum {i}", "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, category string").repartition(4).cache()
+    wanted = {"right": lambda p, t: F.avg((F.get(p, t) > 0.5).cast("int")), "sure": lambda p, t: F.avg(F.array_max(p))}
+    cfg = fit.FitConfig(features=256, components=32, rounds=3, patience=5, labels=("a", "b"))
+    for result in (fit.fit_full(df, df, None, cfg, functions=wanted), fit.fit_compact(df, df, cfg, functions=wanted)):
+        history = result.history_frame(spark, "r").orderBy("epoch").collect()
+        assert [r.epoch for r in history] == [1, 2, 3] and all(r.right == pytest.approx(r.accuracy) for r in history)
+        # the last round's figure is that of the model on the same rows, by the same function
+        last = fit.fit_full(df, None, None, cfg).model if result.params["trainable_parameters"] > 100 else None
+        if last:
+            scored = score.with_probabilities(last, df).withColumn("truth", (F.col("category") == "b").cast("int"))
+            assert metrics.scored_metrics(scored, wanted).first().sure == pytest.approx(history[2].sure)
+    plain = fit.fit_full(df, df, None, cfg).history_frame(spark)
+    assert plain.schema.names == ["run_id", "epoch", "accuracy", "f1_macro", "precision_macro", "recall_macro"]
+    df.unpersist()
+
+
 def test_a_class_without_weight_is_an_error(spark):
     rows = spark.createDataFrame([("a b", "technical"), ("c d", "account")] * 3, "text string, category string")
     weights = spark.createDataFrame([("technical", 1.0)], "category string, weight double")

@@ -119,6 +119,17 @@ def test_named_metrics(spark):
     }
 
 
+def test_scored_metrics(spark):
+    """User functions of probabilities and labels; null labels and an empty table too."""
+    rows = [("a", [0.7, 0.2, 0.1], 0), ("a", [0.1, 0.3, 0.6], 1), ("b", [0.5, 0.3, 0.2], 2), ("b", [0.5, 0.3, 0.2], None)]
+    df = spark.createDataFrame(rows, "part string, probs array<double>, truth int")
+    wanted = {"mean": lambda p, t: F.avg(F.get(p, t)), "known": lambda p, t: F.count(t)}
+    assert metrics.scored_metrics(df, wanted).first().asDict() == {"mean": pytest.approx(0.4), "known": 3}
+    by = {r.part: (r["mean"], r.known) for r in metrics.scored_metrics(df, wanted, by=["part"]).collect()}
+    assert by == {"a": (pytest.approx(0.5), 2), "b": (pytest.approx(0.2), 1)}
+    assert tuple(metrics.scored_metrics(df.limit(0), wanted).first()) == (None, 0)
+
+
 def test_macro_reads_the_rows_once(tickets):
     scored = tickets.select(F.col("category").alias("truth"), F.lower("category").alias("prediction"))
     for result in (metrics.macro_metrics, metrics.class_report):

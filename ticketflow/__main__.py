@@ -27,7 +27,7 @@ def main() -> None:
     spark = SparkSession.builder.appName(f"ticketflow {args.step}").getOrCreate()
     if args.step == "prepare":
         if args.input:
-            tickets = files.read_tickets(spark, args.input, args.format)
+            tickets = files.read_tickets(spark, args.input, args.format, strict=True)
             table = steps.prepare_from(tickets, args.folder, args.seed, args.csv)
         else:
             table = steps.prepare(spark, args.folder, args.scale, args.seed)

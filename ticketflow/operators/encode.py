@@ -13,6 +13,8 @@ from ticketflow.functions import text as tx
 from ticketflow.operators.rank import bucket, bucket_bounds
 
 LOOKUP_BUCKETS = 4_096
+#: Entries of a vocabulary that is sent to the tasks as one value, at most.
+LOOKUP_LIMIT = 1 << 20
 
 
 def tokenize(df: DataFrame, col: str = "text", name: str = "tokens") -> DataFrame:
@@ -66,14 +68,14 @@ def build_vocabulary(df: DataFrame, size: int | None = None, tokens: str = "toke
     return ranked.select("token", (F.col("_i") + len(RESERVED_TOKENS)).cast("int").alias("token_id"))
 
 
-def _lookup(vocabulary: DataFrame) -> Column:
+def _lookup(vocabulary: DataFrame, limit: int) -> Column:
     """The vocabulary as one value: an array of small maps, found by token
     hash. It is computed once per query and sent to the tasks, so encoding
-    needs neither a shuffle nor Python."""
+    needs neither a shuffle nor Python. One entry beyond ``limit`` is an error, and no more are gathered."""
     spark = vocabulary.sparkSession
     reserved = F.create_map(*[F.lit(x) for i, t in enumerate(RESERVED_TOKENS) for x in (t, i)])
     reserved = spark.range(1).select(F.explode(reserved).alias("token", "token_id"))
-    entries = vocabulary.select("token", "token_id").unionByName(reserved)
+    entries = vocabulary.select("token", "token_id").limit(limit + 1).unionByName(reserved)
     grouped = entries.groupBy(_slot(F.col("token")).alias("_slot")).agg(
         F.collect_list(F.struct("token", "token_id")).alias("_entries")
     )
@@ -82,7 +84,10 @@ def _lookup(vocabulary: DataFrame) -> Column:
         F.struct("_slot", F.coalesce("_entries", F.array().cast(grouped.schema["_entries"].dataType)).alias("e")).alias("_s")
     )
     maps = F.transform(F.array_sort(F.collect_list("_s")), lambda s: F.map_from_entries(s["e"]))
-    return dense.agg(maps).scalar()
+    refused = F.raise_error(F.lit(f"a vocabulary that exceeds {limit} entries; use joined_token_ids()"))
+    kind = f"array<map<string,{vocabulary.schema['token_id'].dataType.simpleString()}>>"
+    entered = F.sum(F.size("_s.e")) - len(RESERVED_TOKENS)
+    return dense.agg(F.when(entered > limit, refused.cast(kind)).otherwise(maps)).scalar()
 
 
 def _slot(token: Column) -> Column:
@@ -90,19 +95,17 @@ def _slot(token: Column) -> Column:
 
 
 def token_ids(
-    df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", name: str = "ids", limit: int | None = None
+    df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", name: str = "ids", limit: int = LOOKUP_LIMIT
 ) -> DataFrame:
     """Add the id array of a token array; a token outside the vocabulary gets
     the unknown id.
 
     For a vocabulary of a model's size: it is gathered into one value, and no
-    row is shuffled. ``limit`` refuses a larger one before it is gathered.
+    row is shuffled. A vocabulary of more than ``limit`` entries fails the query before more are gathered.
     joined_token_ids() gives the same for any size.
     """
-    if limit is not None and (entries := vocabulary.count()) > limit:
-        raise ValueError(f"a vocabulary of {entries} exceeds {limit}; use joined_token_ids()")
     unknown = F.lit(RESERVED_TOKENS.index(UNK))
-    table = _lookup(vocabulary)
+    table = _lookup(vocabulary, limit)
     ids = F.transform(
         F.col(tokens), lambda t: F.coalesce(F.try_element_at(F.get(F.col("_table"), _slot(t)), t), unknown)
     )

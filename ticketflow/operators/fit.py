@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
@@ -24,18 +24,22 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketflow.fixed_values import LABELS, PATIENCE, ROUNDS, SEED
 from ticketflow.functions.scores import argmax
 from ticketflow.functions.text import SEPARATORS
 from ticketflow.operators.labels import encode_label
-from ticketflow.operators.metrics import confusion, macro_metrics
+from ticketflow.operators.metrics import confusion, macro_metrics, scored_metrics
 from ticketflow.operators.runs import run_record
 from ticketflow.schema import HISTORY
 
 
+#: Figures by name: from the probabilities and the label id to an aggregate.
+Functions = dict[str, Callable[[Column, Column], Column]] | None
+
 #: Components of a compact fit, unless its configuration says otherwise.
 COMPONENTS = 256
 
@@ -70,9 +74,14 @@ class FitResult:
     weighted: bool
     config: FitConfig
     params: dict = field(default_factory=dict)
+    figures: list[dict] = field(default_factory=list)
 
     def history_frame(self, spark, run_id: str = "run") -> DataFrame:
-        return spark.createDataFrame([(run_id, *row) for row in self.history], HISTORY)
+        """One row per round: its macro metrics, and the figures that were asked for."""
+        names = list(self.figures[0]) if self.figures else []
+        schema = T.StructType([*HISTORY.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+        own = self.figures or [{}] * len(self.history)
+        return spark.createDataFrame([(run_id, *row, *(f[n] for n in names)) for row, f in zip(self.history, own)], schema)
 
 
 def counter(cfg: FitConfig) -> list:
@@ -144,14 +153,15 @@ def _classifier(cfg: FitConfig, rounds: int, weighted: bool) -> LogisticRegressi
     return lr.setWeightCol("weight") if weighted else lr
 
 
-def _evaluate(model: LogisticRegressionModel, rows: DataFrame) -> tuple:
-    scored = model.transform(rows).select(
-        F.col("label").cast("int").alias("truth"), argmax(vector_to_array("_probability")).alias("prediction")
-    )
-    return tuple(macro_metrics(confusion(scored)).first())
+def _evaluate(model: LogisticRegressionModel, rows: DataFrame, functions: Functions = None) -> tuple[tuple, dict]:
+    """Macro metrics, and the user's figures of probabilities and label ids."""
+    probs = vector_to_array("_probability")
+    scored = model.transform(rows).select(F.col("label").cast("int").alias("truth"), argmax(probs).alias("prediction"), probs.alias("probs"))
+    figures = scored_metrics(scored, functions).first().asDict() if functions else {}
+    return tuple(macro_metrics(confusion(scored)).first()), {k: None if v is None else float(v) for k, v in figures.items()}
 
 
-def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitResult:
+def _fit(train, val, weights, cfg: FitConfig, text: str, category: str, functions: Functions = None) -> FitResult:
     """Fit for 1, 2, ... rounds until the validation score has not improved
     for ``patience`` rounds; keep the best. Each fit starts anew, and its
     passes repeat those of the shorter fits exactly.
@@ -178,7 +188,7 @@ def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitRe
         rows = frozen.transform(counts).select("_features", *columns)
         if cfg.components:
             rows = keep(rows)
-        history, best, best_epoch, stale = [], None, cfg.rounds, 0
+        history, own, best, best_epoch, stale = [], [], None, cfg.rounds, 0
         if val is None:
             best = _classifier(cfg, cfg.rounds, weighted).fit(rows)
         else:
@@ -186,7 +196,8 @@ def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitRe
             held = keep(frozen.transform(held).select("_features", "label"))
         for epoch in range(1, cfg.rounds + 1) if val is not None else ():
             head = _classifier(cfg, epoch, weighted).fit(rows)
-            figures = _evaluate(head, held)
+            figures, more = _evaluate(head, held, functions)
+            own.append(more)
             improved = not history or figures[1] > history[best_epoch - 1][2]
             history.append((epoch, *figures))
             if improved:
@@ -201,7 +212,7 @@ def _fit(train, val, weights, cfg: FitConfig, text: str, category: str) -> FitRe
     names = IndexToString(inputCol="_id", outputCol="_label", labels=list(cfg.labels))
     model = PipelineModel(stages=[*counting.stages, *frozen.stages, best, names])
     seconds = time.perf_counter() - start
-    return FitResult(model, history, best_epoch, seconds, weighted, cfg, param_counts(model))
+    return FitResult(model, history, best_epoch, seconds, weighted, cfg, param_counts(model), own if functions else [])
 
 
 def fit_full(
@@ -211,9 +222,11 @@ def fit_full(
     cfg: FitConfig = FitConfig(),
     text: str = "text",
     category: str = "category",
+    functions: Functions = None,
 ) -> FitResult:
-    """Fit on all hashed features; with ``weights`` the loss is class-weighted."""
-    return _fit(train, val, weights, replace(cfg, components=None), text, category)
+    """Fit on all hashed features; with ``weights`` the loss is class-weighted. ``functions``, as of scored_metrics(),
+    are evaluated on the validation rows after every round."""
+    return _fit(train, val, weights, replace(cfg, components=None), text, category, functions)
 
 
 def fit_compact(
@@ -222,13 +235,14 @@ def fit_compact(
     cfg: FitConfig = FitConfig(components=COMPONENTS),
     text: str = "text",
     category: str = "category",
+    functions: Functions = None,
 ) -> FitResult:
     """Fit a small unweighted head on a frozen low-dimensional projection."""
     if not cfg.components:
         raise ValueError("a compact fit needs components")
     if cfg.components > cfg.features:
         raise ValueError(f"a projection to {cfg.components} needs as many features, not {cfg.features}")
-    return _fit(train, val, None, cfg, text, category)
+    return _fit(train, val, None, cfg, text, category, functions)
 
 
 def param_counts(model: PipelineModel) -> dict:

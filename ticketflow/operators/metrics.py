@@ -4,7 +4,7 @@ and never travel."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +148,20 @@ def named_metrics(pairs: DataFrame, expressions: dict[str, Column]) -> DataFrame
     return pairs.agg(*[e.alias(name) for name, e in expressions.items()])
 
 
+def scored_metrics(
+    df: DataFrame,
+    functions: dict[str, Callable[[Column, Column], Column]],
+    probs: str = "probs",
+    truth: str = "truth",
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``[by,]`` user-defined figures of scored rows: each function takes the array of probabilities (or logits) and the label id
+    and returns an aggregate. All of them read the rows once. A fit takes the same functions and gives them for every round.
+    """
+    figures = [f(F.col(probs), F.col(truth)).alias(name) for name, f in functions.items()]
+    return (df.groupBy(*by) if by else df).agg(*figures)
+
+
 def weighted_log_loss(
     df: DataFrame, weights: DataFrame, probs: str = "probs", truth: str = "truth", name: str = "log_loss"
 ) -> DataFrame:

@@ -414,6 +414,11 @@ def sql() -> dict[str, str]:
         "named_metrics": f"""SELECT count(*) AS n_pairs,
             round(1 - sum(CASE WHEN truth = prediction THEN n ELSE 0 END) / sum(n), 6) AS error_rate, max(n) AS largest_cell
             FROM (SELECT truth, prediction, count(*) AS n FROM ({LINES}) GROUP BY 1, 2)""",
+        "scored_metrics": f"""WITH {_centroid_scores()},
+            one AS (SELECT vec_id, split, max(p) FILTER (l = truth) AS own, list(p) AS ps,
+              sum(pow(p - CASE WHEN l = truth THEN 1 ELSE 0 END, 2)) AS apart FROM pr GROUP BY 1, 2)
+            SELECT split, round(avg(CASE WHEN len(list_filter(ps, lambda x: x > own)) < 2 THEN 1.0 ELSE 0.0 END), 6) AS top_2,
+              round(avg(own), 6) AS p_truth, round(avg(apart), 6) AS brier FROM one GROUP BY 1""",
         "weighted_log_loss": f"""WITH {_centroid_scores()}, w AS (SELECT label, sum(count(*)) OVER () / (10 * count(*)) AS weight FROM sp WHERE split = 'train' GROUP BY 1)
             SELECT round(sum(weight * -ln(p_truth)) / sum(weight), 6) AS log_loss FROM scored JOIN w ON label = truth""",
         "automation_summary": f"SELECT {SUMMARY} FROM ({ROUTED})",
@@ -445,6 +450,9 @@ def sql() -> dict[str, str]:
             round({MONTHLY_COST} * r * 12, 6) AS annual_saving
             FROM (SELECT count(*) FILTER (decision = 'automatic') / count(*) AS r FROM ({ROUTED}))""",
         "csv_round_trip": f"SELECT id, md5(text) AS text_md5, category, annotator_confidence FROM ({DOCUMENTS})",
+        "refused_rows": f"""SELECT CASE WHEN id % 7 <> 3 THEN id END AS id, md5(text) AS text_md5, category,
+            CASE WHEN id % 11 <> 5 THEN annotator_confidence END AS annotator_confidence, id % 7 = 3 OR id % 11 = 5 AS refused
+            FROM ({DOCUMENTS})""",
         "stored_splits": f"WITH {sp} SELECT id, category, md5(text) AS text_md5 FROM sp WHERE split = 'validation'",
         "stored_scores": f"""SELECT truth AS category, prediction, decision, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS id_sum,
             round(sum(confidence), 6) AS confidence_sum FROM ({ROUTED}) GROUP BY 1, 2, 3""",
@@ -470,6 +478,8 @@ def sql() -> dict[str, str]:
         "streamed_errors": OUTCOMES,
         "drift_windows": DRIFT + "GROUP BY 1",
         "streamed_drift": DRIFT + "GROUP BY 1",
+        "streamed_drift_closed": DRIFT + """GROUP BY 1 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY
+            <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
         "split_leakage": f"""WITH {sp}, k AS ({TEXT_KEYS}), seen AS (SELECT DISTINCT t FROM k WHERE split = 'train')
             SELECT split, count(*) AS n, count(*) FILTER (seen.t IS NOT NULL) AS leaked, count(DISTINCT seen.t) AS leaked_texts
             FROM k LEFT JOIN seen USING (t) WHERE split <> 'train' GROUP BY 1""",

@@ -291,6 +291,21 @@ def named_metrics(spark, d):
     return rounded(metrics.named_metrics(metrics.confusion(scored_lines(spark, d)), wanted))
 
 
+def scored_metrics(spark, d):
+    """User functions of probabilities and labels: two best, mean probability of the truth, squared error."""
+
+    def squares(p, t):
+        apart = F.transform(p, lambda x, i: F.pow(x - F.when(i == t, 1.0).otherwise(0.0), 2.0))
+        return F.avg(F.aggregate(apart, F.lit(0.0), lambda a, x: a + x))
+
+    wanted = {
+        "top_2": lambda p, t: F.avg((F.size(F.filter(p, lambda x: x > F.get(p, t))) < 2).cast("double")),
+        "p_truth": lambda p, t: F.avg(F.get(p, t)),
+        "brier": squares,
+    }
+    return rounded(metrics.scored_metrics(centroid.score_held_out(table(spark, d, "embeddings")), wanted, by=["split"]))
+
+
 def weighted_log_loss(spark, d):
     embeddings = table(spark, d, "embeddings")
     parts = split.train_val_test_split(embeddings.select("vec_id", "label"), "label", key="vec_id")
@@ -400,6 +415,19 @@ def csv_round_trip(spark, d):
     return back.select("id", F.md5("text").alias("text_md5"), "category", "annotator_confidence")
 
 
+def refused_rows(spark, d):
+    """All documents as CSV, in some of which the id or the confidence is no number: what fits and what is refused."""
+    path = shared_folder(spark)
+    no_id = F.when(F.col("id") % 7 == 3, F.concat(F.lit("no. "), F.col("id").cast("string"))).otherwise(F.col("id").cast("string"))
+    c = F.col("annotator_confidence").cast("string")
+    no_number = F.when(F.col("id") % 11 == 5, F.concat(c, F.lit(" of 5"))).otherwise(c)
+    docs = document_tickets(spark, d).select(no_id.alias("id"), "text", "category", no_number.alias("annotator_confidence"))
+    files.write_tickets(docs, path, "csv")
+    fit_rows, refused = files.read_checked(spark, path)
+    both = fit_rows.withColumn("refused", F.lit(False)).unionByName(refused.drop(files.REFUSED).withColumn("refused", F.lit(True)))
+    return both.select("id", F.md5("text").alias("text_md5"), "category", "annotator_confidence", "refused")
+
+
 def stored_splits(spark, d):
     """Splits written as one table; one of them read back."""
     path = shared_folder(spark)
@@ -713,6 +741,21 @@ def streamed_drift(spark, d):
     return rounded(last.withColumn("window_start", F.unix_timestamp("window_start")).drop("window_end"))
 
 
+def streamed_drift_closed(spark, d):
+    """Drift windows of a stream that keeps only the open ones: the earlier events, then, after a restart, the later."""
+    base = shared_folder(spark)
+    events = table(spark, d, "events")
+    ends = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    earlier = F.col("ts") < F.lit(ends["first"] + (ends["last"] - ends["first"]) / 2) if ends["first"] else F.lit(True)
+    for part in (events.filter(earlier), events.filter(~earlier)):
+        part.repartition(4, "event_id").write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        daily = streams.drift(decision_stream_columns(source), list(EVENT_CLASSES), truth="truth")
+        streams.write_stream(daily, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    closed = spark.read.schema(daily.schema).parquet(f"{base}/out")
+    return rounded(closed.withColumn("window_start", F.unix_timestamp("window_start")).drop("window_end"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -752,6 +795,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         macro_metrics_listed,
         class_report,
         named_metrics,
+        scored_metrics,
         weighted_log_loss,
         automation_summary,
         confidence_stats,
@@ -768,6 +812,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         run_difference,
         savings,
         csv_round_trip,
+        refused_rows,
         stored_splits,
         stored_scores,
         routed_output,
@@ -796,5 +841,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scored_text,
         streamed_scores,
         streamed_drift,
+        streamed_drift_closed,
     )
 }

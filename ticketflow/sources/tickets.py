@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ticketflow.fixed_values import DEMO_TEXTS, NEW_EXAMPLES
 from ticketflow.schema import SCORED, TICKET
+from ticketflow.session import written
 
 # Quotes are doubled and may enclose line breaks.
 CSV_READ = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -21,6 +22,8 @@ CSV_WRITE = {
 }
 # A CSV file with quoted line breaks is read by one task, so files stay small.
 CSV_ROWS_PER_FILE = 1_000_000
+# The row as it stands in the file, where the schema refuses it.
+REFUSED = "_refused"
 
 
 def read_tickets(
@@ -29,17 +32,51 @@ def read_tickets(
     fmt: str = "csv",
     schema: T.StructType = TICKET,
     multi_line: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """A labelled table from CSV, Parquet, JSON or ORC, with the schema given
     and not guessed. A list of paths reads several files as one table.
 
     A CSV file with quoted line breaks is read by one task; without them, say
     ``multi_line=False``, and a large file is read in parts.
+
+    What the schema refuses in a row of CSV or JSON is null; with ``strict`` the read fails
+    there, or where a CSV header has other names. read_checked() tells such rows apart.
     """
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.options(**CSV_READ).option("multiLine", multi_line)
-    return reader.format(fmt).load(path)
+    reader = _reader(spark, fmt, schema, multi_line)
+    if strict:
+        reader = reader.option("mode", "FAILFAST").options(**CSV_WHOLE).option("enforceSchema", False)
+    return reader.load(path)
+
+
+# All columns are parsed, whichever a query asks for: else a row is refused by one query and not by the next.
+CSV_WHOLE = {"columnPruning": "false"}
+
+
+def _reader(spark: SparkSession, fmt: str, schema: T.StructType, multi_line: bool):
+    reader = spark.read.schema(schema).format(fmt)
+    return reader.options(**CSV_READ).option("multiLine", multi_line) if fmt == "csv" else reader
+
+
+def read_checked(
+    spark: SparkSession,
+    path: str | list[str],
+    fmt: str = "csv",
+    schema: T.StructType = TICKET,
+    multi_line: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """A table from CSV or JSON as (rows that fit the schema, rows that it refuses).
+
+    A row is refused that has a value of another type, or too few or too many of them. The refused have the
+    values that fit, the others null, and ``_refused``, the row as it stands in the file. The files are parsed once,
+    into a table in the shared folder, from which both are read.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"{fmt} has its own schema; read_tickets() fails where it differs")
+    marked = T.StructType([*schema.fields, T.StructField(REFUSED, T.StringType())])
+    reader = _reader(spark, fmt, marked, multi_line).options(**CSV_WHOLE)
+    rows = written(reader.option("columnNameOfCorruptRecord", REFUSED).load(path), "checked")
+    return rows.filter(F.col(REFUSED).isNull()).drop(REFUSED), rows.filter(F.col(REFUSED).isNotNull())
 
 
 def _writer(df: DataFrame, fmt: str):
