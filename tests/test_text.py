@@ -1,10 +1,15 @@
 import hashlib
+from functools import partial
 
 import pytest
+from compare import connect, difference
 from pyspark.sql import functions as F
 
 from ticketflow.functions import text as tx
 from ticketflow.operators import encode
+from ticketflow.plans import oracle, queries
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def one(spark, value, column):
@@ -67,6 +72,25 @@ def test_large_vocabulary_is_refused(spark):
     assert encode.token_ids(docs, encode.build_vocabulary(docs), limit=4).first().ids
 
 
+def test_few_rows_look_up_a_large_vocabulary(spark):
+    docs = encode.tokenize(spark.createDataFrame([("b a b c e",), ("a b d",)], "text string"))
+    vocabulary = encode.build_vocabulary(docs)
+    rows = encode.tokenize(spark.createDataFrame([("b x a b",), ("",), (None,), ("[UNK] y",)], "text string"))
+    used = encode.used_vocabulary(vocabulary, rows)
+    assert {r.token: r.token_id for r in used.collect()} == {"b": 4, "a": 5}
+    assert [r.ids for r in encode.token_ids(rows, used, limit=2).collect()] == [[4, 1, 5, 4], [], [], [1, 1]]
+    none = encode.tokenize(spark.createDataFrame([("x y",), ("",)], "text string"))
+    assert [r.ids for r in encode.token_ids(none, encode.used_vocabulary(vocabulary, none), limit=1).collect()] == [[1, 1], []]
+
+
+def test_examples_are_encoded_beyond_the_limit(spark, monkeypatch):
+    limit = 100  # the ten examples have 65 distinct tokens, the documents far more
+    assert queries.vocabulary(spark, FOLDER).count() > limit
+    monkeypatch.setattr(encode, "token_ids", partial(encode.token_ids, limit=limit))
+    sql = oracle.sql()["example_token_ids"]
+    assert difference(spark, connect(FOLDER), queries.example_token_ids, sql, FOLDER) is None
+
+
 def test_whole_vocabulary_by_lookup_and_by_join(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs = encode.tokenize(docs.union(spark.createDataFrame([(-1, ""), (-2, None), (-3, "[PAD] same same")], "doc_id long, text string")))

@@ -68,6 +68,15 @@ def build_vocabulary(df: DataFrame, size: int | None = None, tokens: str = "toke
     return ranked.select("token", (F.col("_i") + len(RESERVED_TOKENS)).cast("int").alias("token_id"))
 
 
+def used_vocabulary(vocabulary: DataFrame, df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The entries of ``vocabulary`` whose token occurs in ``df``, with the ids they have in the whole.
+
+    For few rows and a vocabulary too large for token_ids(). ``df`` is read for its distinct tokens, so it must be a
+    table that gives the same rows when it is read again.
+    """
+    return vocabulary.join(df.select(F.explode(tokens).alias("token")).distinct(), "token", "left_semi")
+
+
 def _lookup(vocabulary: DataFrame, limit: int) -> Column:
     """The vocabulary as one value: an array of small maps, found by token
     hash. It is computed once per query and sent to the tasks, so encoding
@@ -84,7 +93,7 @@ def _lookup(vocabulary: DataFrame, limit: int) -> Column:
         F.struct("_slot", F.coalesce("_entries", F.array().cast(grouped.schema["_entries"].dataType)).alias("e")).alias("_s")
     )
     maps = F.transform(F.array_sort(F.collect_list("_s")), lambda s: F.map_from_entries(s["e"]))
-    refused = F.raise_error(F.lit(f"a vocabulary that exceeds {limit} entries; use joined_token_ids()"))
+    refused = F.raise_error(F.lit(f"a vocabulary that exceeds {limit} entries; use used_vocabulary() or joined_token_ids()"))
     kind = f"array<map<string,{vocabulary.schema['token_id'].dataType.simpleString()}>>"
     entered = F.sum(F.size("_s.e")) - len(RESERVED_TOKENS)
     return dense.agg(F.when(entered > limit, refused.cast(kind)).otherwise(maps)).scalar()
@@ -102,7 +111,7 @@ def token_ids(
 
     For a vocabulary of a model's size: it is gathered into one value, and no
     row is shuffled. A vocabulary of more than ``limit`` entries fails the query before more are gathered.
-    joined_token_ids() gives the same for any size.
+    used_vocabulary() leaves the entries that few rows need; joined_token_ids() gives the same for any size.
     """
     unknown = F.lit(RESERVED_TOKENS.index(UNK))
     table = _lookup(vocabulary, limit)

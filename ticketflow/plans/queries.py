@@ -191,7 +191,8 @@ def token_ids(spark, d):
 def example_token_ids(spark, d):
     """The inline examples encoded with the vocabulary of the documents."""
     rows = encode.tokenize(files.inline_examples(spark))
-    return encode.token_ids(rows, vocabulary(spark, d)).select("text", "expected", joined("ids").alias("ids"))
+    entries = encode.used_vocabulary(vocabulary(spark, d), rows)  # the whole grows with the documents
+    return encode.token_ids(rows, entries).select("text", "expected", joined("ids").alias("ids"))
 
 
 def mapped_batches(spark, d):
