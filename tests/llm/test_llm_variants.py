@@ -111,3 +111,14 @@ def test_filter_lets_all_known_codes_through(spark):
     flags = variants.reduced_filter(known.select("code"))
     bits = variants._bit(np.array([r.code for r in known.collect()], np.int64))
     assert ((flags[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).all() and np.unpackbits(flags).sum() <= 500
+
+
+def test_no_join_is_broadcast_by_estimate(spark, monkeypatch):
+    """Spark takes the asked codes, some 20 times as many rows as words, for smaller than the words."""
+    frames, stored = [], variants.tables.stored
+    monkeypatch.setattr(variants.tables, "stored", lambda df, name: frames.append(df) or stored(df, name))
+    vocab = spark.createDataFrame([("chain" + "a" * k, 3 * 2**k) for k in range(8)], "word string, n long")
+    out = variants.grouped(vocab)
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in [*frames, out]]
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+    assert {r.root for r in out.collect()} == {"chain" + "a" * 7}

@@ -158,13 +158,22 @@ def asked(vocab: DataFrame, flags: np.ndarray) -> DataFrame:
 # Near words, forms and roots
 
 
+def _moved(rows: DataFrame) -> DataFrame:
+    """rows, a side of a join that moves both sides and broadcasts none.
+
+    Spark sizes a written table by its packed files, and takes what mapInArrow makes of rows for no larger than they are. Words
+    ask for some 20 codes each, so what it puts below its broadcast bound may be far too large for the driver.
+    """
+    return rows.hint("shuffle_merge")
+
+
 def near(coded_words: DataFrame) -> DataFrame:
     """Of coded_words(word, n, code), per word that has near words: word, n_near, form (its near word of largest n, ties
     by the smallest in code-point order), form_n."""
     codes = coded_words.select("code").distinct()
     asking = asked(coded_words, reduced_filter(codes))
     other = coded_words.select("code", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    met = asking.join(other, "code").filter(F.levenshtein("word", "other", 1) == 1)
+    met = asking.join(_moved(other), "code").filter(F.levenshtein("word", "other", 1) == 1)
     best = F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("word")))
     found = met.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     return found.select("word", "n_near", F.col("best.word").alias("form"), (-F.col("best.n")).alias("form_n"))
@@ -179,7 +188,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = tables.stored(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while now.filter("moved").limit(1).count():
         step = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        on = now.select("word", "root").join(step, "root", "left")
+        on = now.select("word", "root").join(_moved(step), "root", "left")
         now = tables.stored(on.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
     return now.select("word", "root")
 
@@ -197,5 +206,5 @@ def grouped(vocab: DataFrame, factor: int = FACTOR) -> DataFrame:
     found = joined.select("word", F.when(is_form, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("form_n")).alias("form_n"))
     found = tables.stored(found, "forms")
     ends = roots(found.filter("form is not null"))
-    out = found.join(ends, "word", "left")
+    out = found.join(_moved(ends), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
